@@ -5,22 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join, sql
+from . import ngram_join, resharding, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.reshard(table(spark, sf_dir, "documents"), F.col("source"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_resharding": op1_resharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_resharding": sql.RESHARDING,
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
 }

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most rows of a side that is broadcast; a larger side is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
@@ -40,3 +45,50 @@ def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """docs less the rows whose row_key is in drops(k). A small drop list is broadcast and no text moves."""
     drops = small(drops.select(F.col("k").alias("__ls_k")))
     return docs.withColumn("__ls_row", row_key()).join(drops, F.col("__ls_row") == F.col("__ls_k"), "left_anti").drop("__ls_row")
+
+
+def _running(group: str, value: str):
+    """Exclusive running sums of `value` within `group` in a partition that is sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        last, carry = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(group).to_numpy(zero_copy_only=False)
+            v = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
+            length = np.diff(np.append(first, len(v)))
+            total = np.cumsum(v)
+            before = total - v
+            base = before[first].copy()
+            if names[0] == last:
+                base[0] -= carry
+            before = before - np.repeat(base, length)
+            last, carry = names[-1], int(before[-1] + v[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(np.full(len(v), pid, np.int32))], [*batch.schema.names, "before", "pid"])
+
+    return run
+
+
+def offsets(df: DataFrame, group: str, order: list[str], value: str) -> tuple[DataFrame, dict[str, int]]:
+    """df with `before`, the sum of `value` over the rows of its group that come earlier, and the groups' sums.
+
+    Rows are sorted by range, so a group of any size is spread over partitions; the driver gets one
+    number for each group and partition that meet, which are fewer than both counts together.
+    """
+    spark = df.sparkSession
+    schema = T.StructType([*df.schema.fields, T.StructField("before", T.LongType()), T.StructField("pid", T.IntegerType())])
+    spread = cut(cut(df).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(_running(group, value), schema))
+    parts = spread.groupBy(group, "pid").agg(F.max(F.col("before") + F.col(value)).alias("n")).orderBy(group, "pid").collect()
+    sums: dict[str, int] = {}
+    base = []
+    for name, pid, n in parts:
+        base.append((name, pid, sums.get(name, 0)))
+        sums[name] = sums.get(name, 0) + n
+    if not base:
+        return spread.drop("pid"), sums
+    bases = spark.createDataFrame(base, "b_group string, b_pid int, b_base bigint")
+    joined = spread.join(F.broadcast(bases), (F.col(group) == F.col("b_group")) & (F.col("pid") == F.col("b_pid")))
+    return joined.select(*df.columns, (F.col("before") + F.col("b_base")).alias("before")), sums

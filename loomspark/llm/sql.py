@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from .ngram_join import N, THRESHOLD
+from .resharding import EXTRA_SHARDS, SLACK_PERCENT
 from .textnp import SEPARATORS
 
 WORDS = rf"list_filter(string_split_regex(lower(text), '{SEPARATORS}'), lambda x: x <> '')"
@@ -26,3 +27,20 @@ FROM pairs JOIN classes a ON a.c = ca JOIN classes b ON b.c = cb
 UNION ALL
 SELECT docs, docs, n, n, n, 1.0 FROM classes WHERE len(docs) > 1
 """
+
+#: Stays are the least-cost optimum, min(size, capacity); what is moved is dealt out in shard order.
+RESHARDING = f"""
+WITH base AS (SELECT doc_id, text, coalesce(strlen(text), 0) AS one, coalesce(source, '') AS old_shard, count(*) AS copies FROM documents GROUP BY ALL),
+ordered AS (SELECT *, coalesce(sum(one * copies) OVER (PARTITION BY old_shard ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base),
+old AS (SELECT old_shard AS name, sum(one * copies) AS size FROM base GROUP BY 1),
+room AS (SELECT ((sum(size) * {100 + SLACK_PERCENT}) + 100 * (count(*) + {EXTRA_SHARDS}) - 1) // (100 * (count(*) + {EXTRA_SHARDS})) AS each FROM old),
+news AS (SELECT name, 0 AS late, size FROM old UNION ALL SELECT 'new' || j, 1, 0 FROM range({EXTRA_SHARDS}) r(j)),
+stay AS (SELECT name, late, size, least(size, each) AS stays, size - least(size, each) AS more, each - least(size, each) AS free FROM news, room),
+sends AS (SELECT name, stays, more, sum(more) OVER (ORDER BY name) - more AS s0 FROM stay WHERE late = 0),
+gets AS (SELECT name, free, sum(free) OVER (ORDER BY late, name) - free AS g0 FROM stay),
+flows AS (
+  SELECT s.name AS a, g.name AS b, stays + greatest(s0, g0) - s0 AS f0 FROM sends s JOIN gets g ON more > 0 AND free > 0 AND s0 < g0 + free AND g0 < s0 + more
+  UNION ALL SELECT name, name, 0 FROM stay WHERE late = 0 AND (stays > 0 OR size = 0)),
+found AS (SELECT o.doc_id, one, copies, old_shard, arg_max(b, f0) AS new_shard FROM ordered o JOIN flows ON old_shard = a AND f0 <= before GROUP BY o.doc_id, o.text, one, copies, old_shard)
+SELECT doc_id, one::BIGINT AS n_bytes, old_shard, new_shard, new_shard <> old_shard AS moved FROM found, range(copies)
+"""
