@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, resharding, sql
+from . import mixing, ngram_join, resharding, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +22,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.curriculum(table(spark, sf_dir, "documents"), epochs=mixing.EPOCHS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_resharding": op1_resharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_resharding": sql.RESHARDING,
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op10_mixing": sql.MIXING,
 }

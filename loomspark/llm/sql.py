@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .mixing import EPOCHS, SEED
 from .ngram_join import N, THRESHOLD
 from .resharding import EXTRA_SHARDS, SLACK_PERCENT
 from .textnp import SEPARATORS
@@ -44,3 +45,22 @@ flows AS (
 found AS (SELECT o.doc_id, one, copies, old_shard, arg_max(b, f0) AS new_shard FROM ordered o JOIN flows ON old_shard = a AND f0 <= before GROUP BY o.doc_id, o.text, one, copies, old_shard)
 SELECT doc_id, one::BIGINT AS n_bytes, old_shard, new_shard, new_shard <> old_shard AS moved FROM found, range(copies)
 """
+
+MIXING = rf"""
+WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\x0B\f]+')) AS tokens, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS lot FROM documents),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY lot) - tokens AS before FROM base),
+supply AS (SELECT source, sum(tokens) AS n FROM base GROUP BY source),
+weights AS (
+  SELECT source, n::HUGEINT AS n, CASE WHEN n > 0 THEN round_even(n / (SELECT sum(n) FROM supply) * 1000000, 0)::HUGEINT ELSE 0 END AS b,
+    CASE WHEN n > 0 THEN round_even(pow(n / (SELECT sum(n) FROM supply), 0.5) * 1000000, 0)::HUGEINT ELSE 0 END AS e FROM supply),
+run AS (SELECT floor(sum(n) * {EPOCHS}::DOUBLE)::HUGEINT AS span, sum(b + e)::HUGEINT AS whole FROM weights),
+demands AS (SELECT w.*, span, (span * (b + e)) // whole AS demand FROM weights w, run),
+used AS (
+  SELECT doc_id, p.source, tokens, before, n, b::DOUBLE AS b, e::DOUBLE AS e, span, demand, unnest(range(0, 1 + greatest(0, CASE WHEN n > 0 THEN floor((demand - 1 - before) / n)::BIGINT ELSE 0 END))) AS pass
+  FROM placed p JOIN demands d ON p.source IS NOT DISTINCT FROM d.source WHERE before < demand OR n = 0),
+due AS (SELECT *, (before + pass * n)::DOUBLE / greatest(demand, 1)::DOUBLE AS share, (b + e) / 2 AS half FROM used),
+roots AS (SELECT *, sqrt(greatest(b * b + 2 * (e - b) * half * share, 0)) AS root FROM due)
+SELECT doc_id, source, tokens::BIGINT AS tokens, pass::INT AS pass,
+  floor(least(1, CASE WHEN b + root > 0 THEN 2 * half * share / (b + root) ELSE 0 END) * span::DOUBLE)::BIGINT AS position
+FROM roots
+"""
