@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, resharding, sentencepiece_codec, sql, toxicity
+from . import mixing, ngram_join, resharding, sentencepiece_codec, sql, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_resharding": op1_resharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op10_mixing": op10_mixing,
@@ -45,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_resharding": sql.RESHARDING,
     "op2_ngram_jaccard_join": sql.NGRAM_JOIN,
+    "op5_suffix_dedup": sql.REPEATS,
     "op10_mixing": sql.MIXING,
 }

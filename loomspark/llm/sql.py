@@ -3,6 +3,7 @@
 from .mixing import EPOCHS, SEED
 from .ngram_join import N, THRESHOLD
 from .resharding import EXTRA_SHARDS, SLACK_PERCENT
+from .suffix_dedup import LEAST
 from .textnp import SEPARATORS
 
 WORDS = rf"list_filter(string_split_regex(lower(text), '{SEPARATORS}'), lambda x: x <> '')"
@@ -64,3 +65,13 @@ SELECT doc_id, source, tokens::BIGINT AS tokens, pass::INT AS pass,
   floor(least(1, CASE WHEN b + root > 0 THEN 2 * half * share / (b + root) ELSE 0 END) * span::DOUBLE)::BIGINT AS position
 FROM roots
 """
+
+REPEATS = f"""
+WITH split AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+starts AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {LEAST - 1})) AS b FROM split WHERE len(ws) >= {LEAST}),
+windows AS (SELECT doc_id, b, array_to_string(ws[b + 1:b + {LEAST}], ' ') AS t FROM starts),
+ranked AS (SELECT doc_id, b, b + {LEAST} AS e, first_value(doc_id) OVER w AS first_doc, row_number() OVER w AS n FROM windows WINDOW w AS (PARTITION BY t ORDER BY doc_id, b)),
+again AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranked WHERE n > 1),
+runs AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b) AS run FROM again)
+SELECT doc_id, min(b)::INT AS begin_word, max(e)::INT AS end_word, min(first_doc) AS first_doc FROM runs GROUP BY doc_id, run
+"""
