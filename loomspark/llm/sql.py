@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .kd_search import K
 from .mixing import EPOCHS, SEED
 from .ngram_join import N, THRESHOLD
 from .resharding import EXTRA_SHARDS, SLACK_PERCENT
@@ -75,3 +76,10 @@ again AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNB
 runs AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY b) AS run FROM again)
 SELECT doc_id, min(b)::INT AS begin_word, max(e)::INT AS end_word, min(first_doc) AS first_doc FROM runs GROUP BY doc_id, run
 """
+
+TOP_K = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbour)::INT AS rank FROM d)
+SELECT vec_id, rank, neighbour, round(sqrt(d2), 6) AS distance FROM ranked WHERE rank <= {K}
+"""
