@@ -1,14 +1,18 @@
 """N-gram Jaccard self-join by parity sketches.
 
 Each text becomes the set of its word n-grams (a text of fewer than n words is one gram). A set is
-hashed into a bit sketch: every gram flips one bit, so the Hamming distance of two sketches is at
+hashed into a bit sketch: every gram flips one bit (of 2^32 a chunk, of which only those set are held, as the XOR
+of their hashes, so that chance agreement stays rare at any size), so the Hamming distance of two sketches is at
 most the size of the symmetric difference. Jaccard >= t bounds that difference by
 D = (1-t)/(1+t) * (|A|+|B|); a sketch is divided into K > D chunks, so sketches within D agree in at
 least K-D chunks. Sets are banded by size, K follows from the largest D of a band, and chunks are
 joined by equality. A chunk without set bits says nothing, so it is not joined on: where a set has
 more than D chunks with bits, some agreeing chunk has bits. The rare sets with fewer (their grams
-fell into few chunks) are also joined among themselves on single grams. Both ways are exact, up to
-64-bit hash collisions of sets and 48-bit ones of grams. Candidates are verified on the sets.
+fell into few chunks) are also joined among themselves on single grams. If a set must agree with its
+partner in m chunks, its m - 1 most frequent ones (of all sets, ties by hash) need not be joined on:
+two sets that agree in m have a common one among the others. So passages that many documents share
+make no candidates. All this is exact, up to 64-bit hash collisions of sets and keys and 48-bit ones of grams.
+Candidates are verified on the sets.
 
 Identical sets are joined once, as a class, so a text with thousands of copies costs no more pairs
 than any other.
@@ -34,7 +38,7 @@ from . import rows
 from . import textnp as T
 
 N, THRESHOLD, BAND = 5, 0.8, 1.5
-PAIRS_A_TILE = 20_000
+PAIRS_A_TILE = 400_000
 U = np.uint64
 OUT = "docs_a array<bigint>, docs_b array<bigint>, n_a int, n_b int, common int, jaccard double"
 
@@ -101,22 +105,53 @@ def _keys(n: int, t: float):
                     k = np.array([chunks_of(int(s), t) for s in scheme], dtype=np.int64)
                     chunk = (((mine >> U(16)) * k.astype(U)[owner]) >> U(32)).astype(np.int64)  # ascends with the grams
                     fresh = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (owner[1:] != owner[:-1])))
-                    parity = np.bitwise_xor.reduceat(U(1) << (T.mix(mine) & U(63)), fresh)
+                    parity = np.bitwise_xor.reduceat(T.mix((T.mix(mine) & U(0xFFFFFFFF)) + U(1)), fresh)  # equal bits cancel
                     o, c = owner[fresh], chunk[fresh]
                     bits = parity != 0
                     o, c, parity = o[bits], c[bits], parity[bits]
                     key = T.mix(parity ^ T.mix(scheme.astype(U)[o] * U(1 << 40) + c.astype(U)))
-                    yield pa.RecordBatch.from_arrays([_signed(key), _signed(sid[r][o])], ["key", "sid"])
+                    bound = np.minimum(np.floor((1 - t) / t * lens + 1e-9), np.floor((1 - t) / (1 + t) * 2 * BAND ** (scheme + 1.0) + 1e-9)).astype(np.int64)
+                    have = np.bincount(o, minlength=len(r))
+                    yield pack(key, sid[r][o], (np.maximum(have - bound - 1, 0) * 4 + up)[o])
                     # sets with too few chunks with bits for the pigeonhole
-                    bound = np.minimum(np.floor((1 - t) / t * lens + 1e-9), np.floor((1 - t) / (1 + t) * 2 * BAND ** (scheme + 1.0) + 1e-9))
-                    poor = np.bincount(o, minlength=len(r)) <= bound
+                    poor = have <= bound
                     if poor.any():
                         pick = poor[owner]
-                        yield pa.RecordBatch.from_arrays([_signed(T.mix(mine[pick] ^ U(0x9E3779B97F4A7C15))), _signed(sid[r][owner[pick]])], ["key", "sid"])
+                        spare = np.maximum(np.ceil(t * lens - 1e-9).astype(np.int64) - 1, 0) * 4 + 2 + up
+                        yield pack(T.mix(mine[pick] ^ U(0x9E3779B97F4A7C15)), sid[r][owner[pick]], spare[owner[pick]])
+
+    def pack(key: np.ndarray, sid: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(key), _signed(sid), pa.array(tag.astype(np.int32))], ["key", "sid", "tag"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, key, freq, tag) of the keys that more than one set has, freq being how many; rows come sorted by key."""
+    for key, sid, tag in rows.whole_groups(batches):
+        at = np.lexsort((tag, sid, key))
+        key, sid, tag = key[at], sid[at], tag[at]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+        new = np.append(True, key[1:] != key[:-1])
+        run = np.cumsum(new) - 1
+        freq = np.bincount(run, weights=fresh)[run].astype(np.int32)
+        once = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])) & (freq > 1)
+        if once.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (sid, key, freq, tag)], ["sid", "key", "freq", "tag"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, sid) without each list's most frequent keys, as many as its tag allows; rows come sorted by sid."""
+    for sid, key, freq, tag in rows.whole_groups(batches):
+        at = np.lexsort((key, freq, tag, sid))[::-1]
+        sid, key, tag = sid[at], key[at], tag[at]
+        first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])))
+        place = np.arange(len(sid)) - np.repeat(first, np.diff(np.append(first, len(sid))))
+        keep = place >= (tag >> 2)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sid[keep])], ["key", "sid"])
+
+
 def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of set ids that share a key; rows come sorted by key."""
 
@@ -143,21 +178,7 @@ def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(p):
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
-    key, sid, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    for batch in batches:
-        waiting.append(batch)
-        if sum(x.num_rows for x in waiting) < 200_000:
-            continue
-        key = np.concatenate([key, *(x.column(0).to_numpy() for x in waiting)])
-        sid = np.concatenate([sid, *(x.column(1).to_numpy() for x in waiting)])
-        waiting = []
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield from emit(key[:last], sid[:last])
-            key, sid = key[last:], sid[last:]
-    key = np.concatenate([key, *(x.column(0).to_numpy() for x in waiting)])
-    sid = np.concatenate([sid, *(x.column(1).to_numpy() for x in waiting)])
-    if len(key):
+    for key, sid in rows.whole_groups(batches):
         yield from emit(key, sid)
 
 
@@ -201,13 +222,29 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
     return grouped.select(F.xxhash64("sid", "sid2").alias("c"), "sid", F.col("of.doc_id").alias("docs"), F.col("of.k").alias("ks"), "size", F.col("of.doc_id")[0].alias("first"))
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """Rows (c, l): the ends of pairs (ca, cb), and the least end that each is connected with."""
+    both = rows.cut(pairs.select("ca", "cb").union(pairs.select("cb", "ca")).toDF("c", "o"))
+    label = rows.cut(both.groupBy("c").agg(F.min(F.least("c", "o")).alias("l")))
+    while True:  # labels spread along edges, and jump to their label's label, until none changes
+        near = both.join(label.select(F.col("c").alias("o"), F.col("l").alias("got")), "o").groupBy("c").agg(F.min("got").alias("got"))
+        step = label.join(near, "c").select("c", "l", F.least("l", "got").alias("via"))
+        jump = label.select(F.col("c").alias("via"), F.col("l").alias("far"))
+        step = rows.cut(step.join(jump, "via").select("c", F.col("l").alias("old"), F.least("via", "far").alias("l")))
+        label = step.select("c", "l")
+        if step.where("old != l").isEmpty():
+            return label
+
+
 def class_pairs(docs: DataFrame, by_class: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (ca, cb, common) of classes whose sets' Jaccard similarity is at least the threshold."""
     spark = docs.sparkSession
     low = docs.where("text is not null and doc_id is not null").select(F.lower("text").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = low.mapInArrow(_keys(n, threshold), "key bigint, sid bigint").repartition(tasks, "key").sortWithinPartitions("key")
-    found = rows.cut(keys.mapInArrow(_run_pairs, "a bigint, b bigint").distinct())
+    keys = low.mapInArrow(_keys(n, threshold), "key bigint, sid bigint, tag int").repartition(tasks, "key").sortWithinPartitions("key")
+    shared = keys.mapInArrow(_shared, "sid bigint, key bigint, freq int, tag int").repartition(tasks, "sid").sortWithinPartitions("sid")
+    rare = shared.mapInArrow(_rarest, "key bigint, sid bigint").repartition(tasks, "key").sortWithinPartitions("key")
+    found = rows.cut(rare.mapInArrow(_run_pairs, "a bigint, b bigint").distinct())
     of = by_class.select("c", "sid", "size")
     a, b = (of.select(F.col("sid").alias(s), F.col("c").alias(f"c{s}"), F.col("size").alias(f"s{s}")) for s in "ab")
     cand = found.join(a, "a").join(b, "b").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("ca", "cb")
@@ -217,13 +254,12 @@ def class_pairs(docs: DataFrame, by_class: DataFrame, n: int = N, threshold: flo
     reps = by_class.join(ends, "c", "left_semi").select("c", "sid", F.col("first").alias("doc_id"))
     texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text"))
     mine = texts.join(rows.small(reps), "doc_id").select("c", "text").mapInArrow(_sets(n), "c bigint, grams binary").dropDuplicates(["c"])
-    # similar sets go to the same tile: each tile has a bounded number of pairs and gets each set once
-    near = cand.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("o")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("o")))).alias("x")).select("x.*")
-    label = near.groupBy("c").agg(F.min(F.least("c", "o")).alias("l"))
-    la, lb = (label.select(F.col("c").alias(f"c{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
-    tiled = cand.join(la, "ca").join(lb, "cb")
-    count = tiled.groupBy("la", "lb").agg(F.ceil(F.sqrt(F.count("*") / PAIRS_A_TILE)).alias("parts"))
-    tiled = tiled.join(count, ["la", "lb"]).select("ca", "cb", F.xxhash64("la", "lb", F.pmod("ca", "parts"), F.pmod("cb", "parts")).alias("tile"))
+    # a connected group of candidates is one tile, to which each of its sets is sent once; a group of many pairs is several
+    label = components(cand).select(F.col("c").alias("ca"), "l")
+    tiled = cand.join(label, "ca")
+    count = tiled.groupBy("l").agg(F.ceil(F.sqrt(F.count("*") / PAIRS_A_TILE)).alias("parts"))
+    pa_, pb_ = F.pmod("ca", "parts"), F.pmod("cb", "parts")
+    tiled = tiled.join(count, "l").select("ca", "cb", F.xxhash64("l", F.least(pa_, pb_), F.greatest(pa_, pb_)).alias("tile"))
     tiled = rows.cut(tiled)
     sent = tiled.select(F.col("tile").alias("to"), F.explode(F.array("ca", "cb")).alias("c")).distinct().join(mine, "c")
     return tiled.groupBy("tile").cogroup(sent.groupBy("to")).applyInPandas(_verify(threshold), "ca bigint, cb bigint, common bigint")
@@ -258,18 +294,9 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     """
     by_class = rows.cut(classes(docs, n))
     pairs = rows.cut(class_pairs(docs, by_class, n, threshold).select("ca", "cb"))
-    first = by_class.select("c", F.struct("first", "c").alias("me"))
-    both = pairs.union(pairs.select("cb", "ca")).toDF("c", "o")
-    label = rows.cut(by_class.join(both.select("c").distinct(), "c", "left_semi").select("c", F.struct("first", "c").alias("least")))
-    while True:  # labels spread along edges, and jump to their label's label, until none changes
-        near = both.join(label.select(F.col("c").alias("o"), F.col("least").alias("got")), "o").groupBy("c").agg(F.min("got").alias("got"))
-        step = label.join(near, "c").select("c", "least", F.least("least", "got").alias("new"))
-        jump = label.select(F.col("c").alias("via"), F.col("least").alias("far"))
-        step = step.join(jump, F.col("new.c") == F.col("via")).select("c", "least", F.least("new", "far").alias("new"))
-        step = rows.cut(step)
-        label = step.select("c", F.col("new").alias("least"))
-        if step.where("least != new").isEmpty():
-            break
+    ranked = components(pairs).join(by_class.select("c", F.struct("first", "c").alias("me")), "c")
+    least = ranked.groupBy("l").agg(F.min("me").alias("least"))
+    label = ranked.join(least, "l")
     lost = label.where("least.c != c").select("c").distinct()
     gone = by_class.join(lost, "c", "left_semi").select(F.explode("ks").alias("k"))
     stay = by_class.where(F.size("ks") > 1).join(lost, "c", "left_anti")

@@ -92,3 +92,33 @@ def offsets(df: DataFrame, group: str, order: list[str], value: str) -> tuple[Da
     bases = spark.createDataFrame(base, "b_group string, b_pid int, b_base bigint")
     joined = spread.join(F.broadcast(bases), (F.col(group) == F.col("b_group")) & (F.col("pid") == F.col("b_pid")))
     return joined.select(*df.columns, (F.col("before") + F.col("b_base")).alias("before")), sums
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: int = 0, most: int = 200_000) -> Iterator[list[np.ndarray]]:
+    """The columns of a partition that is sorted by column `by`, in parts of about `most` rows that cut no group."""
+    held: list[np.ndarray] | None = None
+    waiting: list[pa.RecordBatch] = []
+    count = 0
+
+    def joined() -> list[np.ndarray]:
+        new = [[x.column(i).to_numpy(zero_copy_only=False) for x in waiting] for i in range(waiting[0].num_columns)] if waiting else []
+        return [np.concatenate([a, *b]) for a, b in zip(held, new)] if held is not None and new else held if held is not None else [np.concatenate(b) for b in new]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        count += batch.num_rows
+        if count < most:
+            continue
+        columns = joined()
+        waiting, count = [], 0
+        key = columns[by]
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield [x[:last] for x in columns]
+            columns = [x[last:] for x in columns]
+        held = columns
+    columns = joined()
+    if columns and len(columns[by]):
+        yield columns
