@@ -140,7 +140,8 @@ def ask(requests: DataFrame, provider: Provider, call: Call, cache: "Cache | Non
         hits = wanted.join(known, "key").select("key", "response", F.lit(None).cast("string").alias("error"))
         cache.hits, cache.misses = cache.hits + hits.count(), cache.misses + replies.count()
         replies = replies.unionByName(hits)
-    return requests.withColumn("key", key).join(replies, "key", "left").drop("key")
+    replies = replies.withColumnRenamed("key", "__key")
+    return requests.withColumn("__key", key).join(replies, "__key", "left").drop("__key")
 
 
 @dataclass
