@@ -33,7 +33,7 @@ from . import textnp as T
 U = np.uint64
 LONG = 400
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 MARK = ord(M.SPACE)
 
 
