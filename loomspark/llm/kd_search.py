@@ -226,7 +226,7 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, ident: str = "vec_
             out = bounded.mapInPandas(_visits(np.array([row["shard"] for row in boxes]), low, high), "shard bigint, id bigint, v array<double>, kth double")
             blocks = -(-count // BLOCK)
             out = out.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-            hosts = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+            hosts = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
             more = out.groupBy("shard", "block").cogroup(hosts.groupBy("shard", "block")).applyInPandas(_visited(k, size), answer)
             found = found.union(rows.cut(more))
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))), 1, k).alias("best"))
