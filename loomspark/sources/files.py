@@ -20,7 +20,7 @@ CHUNKS = "id string, text string, source string, index int, metadata struct<char
 def text_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Whole files as UTF-8, bytes that aren't replaced by U+FFFD; a missing file is an error."""
     raw = spark.read.format("binaryFile").load([str(p) for p in paths])
-    return raw.select(F.col("path").alias("source"), F.make_valid_utf8(F.decode("content", "UTF-8")).alias("text"))
+    return raw.select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def _pdf_text(content: bytes) -> str:
