@@ -183,10 +183,9 @@ def reshard(docs: DataFrame, shard: Column, path: str | None = None, new: Sequen
     A new shard is affected if documents enter it or left it; all others keep their old files.
     """
     spark = docs.sparkSession
-    placed, flows = assign(docs, shard, new)
+    placed, _ = assign(docs, shard, new)
     placed = rows.cut(placed)
-    moving = [(a, b) for a, b, begin, end in flows if a != b and end > begin]
-    affected = sorted({x for pair in moving for x in pair})
+    affected = sorted({x for pair in placed.where("moved").select("old_shard", "new_shard").distinct().collect() for x in pair})
     if affected:
         path = path or f"{rows.checkpoint_dir(spark)}/reshard-{uuid.uuid4().hex}"
         names = spark.createDataFrame([(x,) for x in affected], "__ls_touched string")
