@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: it is bound to a lambda's variable instead of being repeated."""
+    return F.transform(F.array(value), use)[0]
+
+
 PREFIXES = ("Rewritten instruction:", "Rewritten:", "Instruction:")
 
 
 def json_blob(raw: Column) -> Column:
     """The JSON-looking part of a reply: inside a code fence if there is one, then the bracket or brace span that begins first; null if none."""
-    text = strip(raw)
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(.+?)```", 1)
-    body = F.when(text.rlike(r"(?is)```(?:json)?\s*(.+?)```"), strip(fenced)).otherwise(text)
+    fence = r"(?is)```(?:json)?\s*(.+?)```"
 
-    def span(a: str, b: str) -> tuple[Column, Column]:
-        start = F.locate(a, body)
-        end = F.length(body) - F.locate(b, F.reverse(body)) + 1
-        ok = (start > 0) & (F.locate(b, body) > 0) & (end > start)
-        return F.when(ok, start), F.when(ok, F.substring(body, start, end - start + 1))
+    def pick(body: Column) -> Column:
+        def span(a: str, b: str) -> tuple[Column, Column]:
+            start = F.locate(a, body)
+            end = F.length(body) - F.locate(b, F.reverse(body)) + 1
+            ok = (start > 0) & (F.locate(b, body) > 0) & (end > start)
+            return F.when(ok, start), F.when(ok, F.substring(body, start, end - start + 1))
 
-    list_at, list_part = span("[", "]")
-    dict_at, dict_part = span("{", "}")
-    return F.when(list_at.isNotNull() & (dict_at.isNull() | (list_at < dict_at)), list_part).otherwise(dict_part)
+        list_at, list_part = span("[", "]")
+        dict_at, dict_part = span("{", "}")
+        return F.when(list_at.isNotNull() & (dict_at.isNull() | (list_at < dict_at)), list_part).otherwise(dict_part)
+
+    return let(strip(raw), lambda text: let(F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text), pick))
 
 
 def json_value(raw: Column) -> Column:
@@ -38,47 +46,51 @@ def kind(value: Column) -> Column:
 
 def seeds(raw: Column) -> Column:
     """Array of the instructions of a reply: strings, or the first non-empty of instruction, question and prompt of objects; 8 to 500 characters."""
-    blob = json_blob(raw)
-    # not every array is a list of one type, so elements come as text with their quotes
-    items = F.from_json(F.when(F.try_parse_json(blob).isNotNull() & blob.startswith("["), blob), "array<variant>")
+
+    def of_part(part: Column, otherwise: Column) -> Column:
+        text = F.try_variant_get(part, "$", "string")
+        empty = part.isNull() | (kind(part) == "VOID") | F.coalesce(text.isin("", "0", "false", "[]", "{}", "0.0") & ~((kind(part) == "STRING") & (text != "")), F.lit(False))
+        return F.when(empty, otherwise).when(kind(part) == "STRING", text)
 
     def text(v: Column) -> Column:
-        whole = F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
         out = F.lit(None).cast("string")
         for key in reversed(("instruction", "question", "prompt")):
-            part = F.try_variant_get(v, f"$.{key}", "variant")
-            empty = part.isNull() | kind(part).isin("VOID") | F.coalesce(F.try_variant_get(part, "$", "string").isin("", "0", "false", "[]", "{}", "0.0") & ~((kind(part) == "STRING") & (F.try_variant_get(part, "$", "string") != "")), F.lit(False))
-            value = F.when(kind(part) == "STRING", F.try_variant_get(part, "$", "string"))
-            out = F.when(empty, out).otherwise(value)
-        return F.coalesce(whole, F.when(kind(v).startswith("OBJECT"), out))
+            out = of_part(F.try_variant_get(v, f"$.{key}", "variant"), out)
+        return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string")).when(kind(v).startswith("OBJECT"), out)
 
+    # not every array is a list of one type, so elements are variants
+    items = let(json_blob(raw), lambda blob: F.from_json(F.when(F.try_parse_json(blob).isNotNull() & blob.startswith("["), blob), "array<variant>"))
     found = F.filter(F.transform(items, lambda v: strip(text(v))), lambda s: s.isNotNull() & F.length(s).between(8, 500))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return let(found, lambda f: F.coalesce(f, F.array().cast("array<string>")))
 
 
 def verdict(raw: Column) -> Column:
     """Struct (score, reason) of a judge's reply: a half-even rounded score in 0..10, 0 where there is none; up to 240 characters of reason."""
-    value = json_value(raw)
-    is_dict = F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
-    text = F.try_variant_get(value, "$.score", "string")
-    number = F.coalesce(F.try_variant_get(value, "$.score", "double"), F.expr("cast(null as double)"), F.when(text == "true", 1.0).when(text == "false", 0.0), strip(text).try_cast("double"))
-    number = F.when(F.isnan(number) | (F.abs(number) == float("inf")), 0.0).otherwise(number)
-    score = F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(F.rint(number), F.lit(0.0)).cast("int")))
-    has_reason = F.coalesce(kind(value).contains("reason:"), F.lit(False))
-    reason = F.when(has_reason, F.coalesce(F.try_variant_get(value, "$.reason", "string"), F.lit("None"))).otherwise("")
-    return F.when(is_dict, F.struct(score.alias("score"), F.substring(strip(reason), 1, 240).alias("reason"))).otherwise(
-        F.struct(F.lit(0).alias("score"), F.lit("unparseable judge response").alias("reason"))
-    )
+
+    def read(value: Column) -> Column:
+        text = F.try_variant_get(value, "$.score", "string")
+        number = F.coalesce(F.try_variant_get(value, "$.score", "double"), F.when(text == "true", 1.0).when(text == "false", 0.0), strip(text).try_cast("double"))
+        score = let(number, lambda x: F.greatest(F.lit(0), F.least(F.lit(10), F.coalesce(F.rint(F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)), F.lit(0.0)).cast("int"))))
+        has_reason = F.coalesce(kind(value).contains("reason:"), F.lit(False))
+        reason = F.when(has_reason, F.coalesce(F.try_variant_get(value, "$.reason", "string"), F.lit("None"))).otherwise("")
+        return F.when(F.coalesce(kind(value).startswith("OBJECT"), F.lit(False)), F.struct(score.alias("score"), F.substring(strip(reason), 1, 240).alias("reason"))).otherwise(
+            F.struct(F.lit(0).alias("score"), F.lit("unparseable judge response").alias("reason"))
+        )
+
+    return let(json_value(raw), read)
 
 
 def evolution(raw: Column, original: Column) -> Column:
     """A rewritten instruction without known prefixes and quotes; null if it isn't 8 to 800 characters or says the same."""
-    text = strip(F.coalesce(raw, F.lit("")))
-    for prefix in PREFIXES:
-        begins = F.lower(F.substring(text, 1, len(prefix))) == prefix.lower()
-        text = F.when(begins, strip(F.substring(text, len(prefix) + 1, 1_000_000_000))).otherwise(text)
-    text = F.btrim(text, F.lit("\"'`"))
-    return F.when(F.length(text).between(8, 800) & (F.lower(text) != F.lower(strip(original))), text)
+
+    def cut(text: Column, left: tuple[str, ...]) -> Column:
+        if not left:
+            bare = F.btrim(text, F.lit("\"'`"))
+            return let(bare, lambda t: F.when(F.length(t).between(8, 800) & (F.lower(t) != F.lower(strip(original))), t))
+        begins = F.lower(F.substring(text, 1, len(left[0]))) == left[0].lower()
+        return let(F.when(begins, strip(F.substring(text, len(left[0]) + 1, 1_000_000_000))).otherwise(text), lambda t: cut(t, left[1:]))
+
+    return let(strip(F.coalesce(raw, F.lit(""))), lambda t: cut(t, PREFIXES))
 
 
 def alternates(messages: Column) -> Column:
@@ -90,7 +102,7 @@ def alternates(messages: Column) -> Column:
 
 def dialogue(raw: Column, turns: int) -> Column:
     """The valid dialogue of a reply, an array of (role, content) of at most `turns`; null if there is none."""
-    value = json_value(raw)
-    got = F.when(kind(value).startswith("OBJECT"), F.from_json(json_blob(raw), "struct<messages: array<struct<role: string, content: string>>>").messages)
+    shape = "struct<messages: array<struct<role: string, content: string>>>"
+    got = let(json_blob(raw), lambda blob: F.when(kind(F.try_parse_json(blob)).startswith("OBJECT"), F.from_json(blob, shape).messages))
     clean = F.transform(got, lambda m: F.struct(F.lower(strip(m.role)).alias("role"), strip(m.content).alias("content")))
-    return F.when(alternates(clean), F.slice(clean, 1, turns))
+    return let(clean, lambda m: F.when(alternates(m), F.slice(m, 1, turns)))
