@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(n, "dialogues")
         return 0
     config = pipeline.Config(
-        a.description, a.language, a.target, a.seeds_per_chunk, a.seeds_from_description, a.diversity_threshold, a.min_judge_score, a.min_hallucination_overlap, a.min_semantic, settings.generator_model, settings.judge_model,
+        a.description, a.language, a.target, a.seeds_per_chunk, a.seeds_from_description, a.diversity_threshold, a.min_judge_score, a.min_hallucination_overlap, a.min_semantic, settings.generator_model, settings.judge_model, settings.embedding_model,
         generate_dpo_pairs=a.dpo, dpo_target_pairs=a.dpo_target_pairs, evol_factor=a.evol_factor, evol_rounds=a.evol_rounds, concurrency=a.concurrency, overflow="reject" if a.concurrency > 1 else "unexamined",
     )
     out = pipeline.run(spark, config, chunks, provider_of(settings), run_dir=a.checkpoint, cache=cache, progress=told)

@@ -108,7 +108,7 @@ class Service:
             s = self.settings
             config = pipeline.Config(
                 description=params["description"], language=params.get("language", "English"), target_examples=int(params.get("target_examples", 200)), min_judge_score=int(params.get("min_judge_score", 7)),
-                diversity_threshold=float(params.get("diversity_threshold", 0.9)), generator_model=s.generator_model, judge_model=s.judge_model, generate_dpo_pairs=bool(params.get("generate_dpo_pairs", False)),
+                diversity_threshold=float(params.get("diversity_threshold", 0.9)), generator_model=s.generator_model, judge_model=s.judge_model, embedding_model=s.embedding_model, generate_dpo_pairs=bool(params.get("generate_dpo_pairs", False)),
                 concurrency=int(params.get("concurrency", 4)), evol_factor=float(params.get("evol_factor", 0.0)), overflow="reject" if int(params.get("concurrency", 4)) > 1 else "unexamined",
             )
             cache = Cache(self.cache) if self.cache else None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, replies
 from ..functions import text as X
-from ..operators import dedup, gates, grounding, split, storage
+from ..operators import dedup, embedding, gates, grounding, split, storage
 from . import prompts
 from .providers import Cache, Call, Provider, ask
 
@@ -37,6 +37,7 @@ class Config:
     min_semantic_similarity: float | None = None
     generator_model: str | None = None
     judge_model: str | None = None
+    embedding_model: str = "hash"
     generator_temperature: float = 0.7
     answer_max_tokens: int = 800
     generate_dpo_pairs: bool = False
@@ -190,9 +191,13 @@ def run(
     generated = candidates.count()
 
     def gated() -> DataFrame:
-        marked = dedup.diversity(candidates, "cand_idx", "instruction", config.diversity_threshold)
+        if embedding.available(config.embedding_model) == "hash":
+            marked = dedup.diversity(candidates, "cand_idx", "instruction", config.diversity_threshold)
+        else:
+            vectors = storage.cut(embedding.vectors(candidates, "cand_idx", "instruction", config.embedding_model))
+            marked = dedup.vector_diversity(candidates.join(vectors, "cand_idx"), "cand_idx", "vector", config.diversity_threshold).drop("vector")
         with_chunk = marked.where("chunk_text is not null")
-        scored = grounding.ground(with_chunk.select("cand_idx", "output", "chunk_text"), "cand_idx", "output", "chunk_text", config.min_hallucination_overlap, config.min_semantic_similarity)
+        scored = grounding.ground(with_chunk.select("cand_idx", "output", "chunk_text"), "cand_idx", "output", "chunk_text", config.min_hallucination_overlap, config.min_semantic_similarity, model=config.embedding_model)
         return marked.join(scored.select("cand_idx", F.col("token_score").alias("hallucination_score"), "semantic", "grounded"), "cand_idx", "left")
 
     decided = stages("decisions", lambda: _examine(spark, stages, gated(), config, judge_provider, cache))

@@ -84,3 +84,17 @@ def test_gates_and_target(spark):
     assert of(gates.stop_at(df, "cand_idx", 9)) == decisions
     s = gates.stats(gates.stop_at(df, "cand_idx", 2, "reject"), 7).first()
     assert (s["seeds"], s["generated"], s["judged"], s["kept"], s["judge_rejected"], s["diversity_rejected"]) == (7, 6, 5, 2, 1, 1)
+
+
+def test_embeddings_are_unit_vectors_and_fall_back(spark):
+    from loomspark.functions import text as X
+    from loomspark.operators import embedding
+
+    df = spark.createDataFrame([(0, "a b c d"), (1, ""), (2, "a b c d")], "k bigint, t string")
+    with pytest.warns(UserWarning):
+        got = {r["k"]: np.array(r["vector"]) for r in embedding.vectors(df, "k", "t", "some-model", 64).collect()}
+    assert np.isclose(np.linalg.norm(got[0]), 1) and not got[1].any() and (got[0] == got[2]).all()
+    want = vector("a b c d", 64)
+    assert np.allclose(got[0], want / np.linalg.norm(want))
+    same = grounding.model_scores(df.withColumn("r", F.col("t")), "k", "t", "r", "hash").collect()
+    assert {r["k"]: r["semantic"] for r in same} == {0: 1.0, 1: 0.0, 2: 1.0}
