@@ -95,10 +95,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         exports.write_json({"dialogues": n, "asked": got.asked, "valid": got.valid, "file": path}, path.replace(".jsonl", ".manifest.json"))
         print(n, "dialogues")
         return 0
-    config = pipeline.Config(
-        a.description, a.language, a.target, a.seeds_per_chunk, a.seeds_from_description, a.diversity_threshold, a.min_judge_score, a.min_hallucination_overlap, a.min_semantic, settings.generator_model, settings.judge_model, settings.embedding_model,
-        generate_dpo_pairs=a.dpo, dpo_target_pairs=a.dpo_target_pairs, evol_factor=a.evol_factor, evol_rounds=a.evol_rounds, concurrency=a.concurrency, overflow="reject" if a.concurrency > 1 else "unexamined",
-    )
+    same = "description language seeds_per_chunk seeds_from_description diversity_threshold min_judge_score min_hallucination_overlap dpo_target_pairs evol_factor evol_rounds concurrency".split()
+    models = {name: getattr(settings, name) for name in ("generator_model", "judge_model", "embedding_model")}
+    rest = {"target_examples": a.target, "min_semantic_similarity": a.min_semantic, "generate_dpo_pairs": a.dpo, "overflow": "reject" if a.concurrency > 1 else "unexamined"}
+    config = pipeline.Config(**{name: getattr(a, name) for name in same}, **models, **rest)
     out = pipeline.run(spark, config, chunks, provider_of(settings), run_dir=a.checkpoint, cache=cache, progress=told)
     manifest = runs.write(
         out, config, settings, a.output_dir, formats=a.formats, eval_fraction=a.eval_fraction, tool_calling=a.tool_calling, datacard=a.datacard, sources=card.sources_of(a.pdf, a.text, a.url, a.chunks), cache=cache

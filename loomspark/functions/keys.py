@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-LANGUAGES = {"english": "en", "italian": "it", "french": "fr", "german": "de", "spanish": "es", "portuguese": "pt", "dutch": "nl", "japanese": "ja", "chinese": "zh"}
+LANGUAGES = dict(pair.split("=") for pair in "chinese=zh dutch=nl english=en french=fr german=de italian=it japanese=ja portuguese=pt spanish=es".split())
 BUCKETS = ((1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M"))
 
 
@@ -66,4 +66,5 @@ def signature(config: dict, chunk_count: int, chunk_ids_hash: str) -> str:
 
 
 def slug(name: str) -> str:
-    return re.sub(r"[\W_]", "-", name).strip("-").lower()[:48] or "run"
+    bare = re.sub(r"[\W_]", "-", name.lower()).strip("-")
+    return bare[:48] if bare else "run"

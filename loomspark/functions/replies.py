@@ -14,12 +14,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-PREFIXES = ("Rewritten instruction:", "Rewritten:", "Instruction:")
+PREFIXES = tuple(f"{lead}:" for lead in "Rewritten instruction|Rewritten|Instruction".split("|"))
 
 
 def json_blob(raw: Column) -> Column:
     """The JSON-looking part of a reply: inside a code fence if there is one, then the bracket or brace span that begins first; null if none."""
-    fence = r"(?is)```(?:json)?\s*(.+?)```"
+    fence = r"(?is)`{3}(?:json|)\s*(.+?)`{3}"
 
     def pick(body: Column) -> Column:
         def span(a: str, b: str) -> tuple[Column, Column]:

@@ -12,11 +12,8 @@ BREAKS = r"\r\n|[\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 SPACE = r"[\s\x1C-\x1F]"
 SENTENCE_END = r"(?U)(?<=[.!?])[\s\x1C-\x1F]+(?=[A-ZÀ-ÿ0-9])"
 WORD = r"[\p{L}\p{N}_À-ÿ]+"
-ENGLISH = (
-    "the a an and or but if then so to of in on for with at by from as is are was were be been being have has had do does did can could should would may might will shall "
-    "this that these those it its they their them he she his her you your we our"
-).split()
-ITALIAN = "il lo la le gli un uno una di da del della dei delle che come per con su sono essere avere".split()
+ENGLISH = "a an and are as at be been being but by can could did do does for from had has have he her his if in is it its may might of on or our shall she should so that the their them then these they this those to was we were will with would you your".split()
+ITALIAN = "avere che come con da dei del della delle di essere gli il la le lo per sono su un una uno".split()
 STOPWORDS = tuple(ENGLISH + ITALIAN)
 
 

@@ -42,8 +42,8 @@ def chunk_bounds(lengths: Column, target: int, overlap: int) -> Column:
 
 def chunk_text(docs: DataFrame, source: str, text: str = "text", target_chars: int = TARGET_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """Rows (id, text, source, index, metadata) of the chunks of every document; source is a column. No shuffle."""
-    if target_chars <= 0:
-        raise ValueError("target_chars must be positive")
+    if target_chars < 1:
+        raise ValueError("a chunk needs a target of at least one character")
     overlap = max(0, min(overlap_chars, target_chars // 2))
     cut = docs.select(F.col(source).cast("string").alias("source"), X.split_sentences(X.normalize(F.col(text))).alias("s"))
     bounds = cut.withColumn("bounds", chunk_bounds(F.transform("s", F.length), target_chars, overlap))

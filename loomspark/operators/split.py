@@ -23,7 +23,7 @@ def shuffled(items: DataFrame, key: str, seed: int, name: str = "position") -> D
     return storage.number_rows(items, [keys.lot(seed, F.col(key)), F.col(key)], name)
 
 
-def train_eval_split(items: DataFrame, key: str, eval_fraction: float = 0.1, *, seed: int = 42, min_eval: int = 1, max_eval: int | None = None) -> DataFrame:
+def train_eval_split(items: DataFrame, key: str, eval_fraction: float = 0.1, *, max_eval: int | None = None, min_eval: int = 1, seed: int = 42) -> DataFrame:
     """items with `part`, train or eval; sort by the items' own order to get each part in it."""
     size = eval_size(items.count(), eval_fraction, min_eval, max_eval)
     placed = shuffled(items, key, seed, "__place")

@@ -76,7 +76,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE = "html"
-for _tag in html.SKIP:
+for _tag in sorted(html.SKIP):
     PAGE = rf"regexp_replace({PAGE}, '(?is)<{_tag}\b[^>]*>.*?(</{_tag}\s*>|$)', e'\x01', 'g')"
 PAGE = rf"regexp_replace(regexp_replace(regexp_replace({PAGE}, '(?s)<!--.*?-->', e'\x01', 'g'), '(?s)<[^>]*>', e'\x01', 'g'), '(?s)<[^>]*$', '', 'g')"
 for _name, _char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):

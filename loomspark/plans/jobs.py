@@ -20,6 +20,7 @@ from .providers import Cache
 
 COLUMNS = ("id", "kind", "params", "status", "progress", "message", "result", "error", "created_at", "finished_at", "cancel_requested")
 SCHEMA = "id string, kind string, params string, status string, progress double, message string, result string, error string, created_at double, finished_at double, cancel_requested int"
+PARAMETERS = {"description": str, "language": str, "target_examples": int, "min_judge_score": int, "diversity_threshold": float, "generate_dpo_pairs": bool, "concurrency": int, "evol_factor": float}
 KINDS = {"generate_from_text": "text", "generate_from_pdf": "pdf_path", "generate_from_url": "url"}
 
 
@@ -37,7 +38,7 @@ class Store:
         with self.lock, self.db:
             self.db.execute(f"create table if not exists jobs ({', '.join(COLUMNS)}, primary key (id))")
             # what ran when the service stopped can't go on
-            self.db.execute("update jobs set status = 'failed', error = 'the service stopped', finished_at = ? where status in ('queued', 'running')", (time.time(),))
+            self.db.execute("update jobs set status = 'failed', error = 'the service stopped', finished_at = ? where status not in ('succeeded', 'failed', 'cancelled')", (time.time(),))
 
     def add(self, kind: str, params: dict) -> str:
         job = uuid.uuid4().hex
@@ -106,16 +107,15 @@ class Service:
             self.store.update(job, status="running")
             chunks = files.for_job(self.spark, params)
             s = self.settings
-            config = pipeline.Config(
-                description=params["description"], language=params.get("language", "English"), target_examples=int(params.get("target_examples", 200)), min_judge_score=int(params.get("min_judge_score", 7)),
-                diversity_threshold=float(params.get("diversity_threshold", 0.9)), generator_model=s.generator_model, judge_model=s.judge_model, embedding_model=s.embedding_model, generate_dpo_pairs=bool(params.get("generate_dpo_pairs", False)),
-                concurrency=int(params.get("concurrency", 4)), evol_factor=float(params.get("evol_factor", 0.0)), overflow="reject" if int(params.get("concurrency", 4)) > 1 else "unexamined",
-            )
+            given = {name: kind(params[name]) for name, kind in PARAMETERS.items() if params.get(name) is not None}
+            calls = given.setdefault("concurrency", 4)
+            models = {name: getattr(s, name) for name in ("generator_model", "judge_model", "embedding_model")}
+            config = pipeline.Config(**given, **models, overflow="reject" if calls > 1 else "unexamined")
             cache = Cache(self.cache) if self.cache else None
             out = pipeline.run(self.spark, config, chunks, provider_of(s), cache=cache, progress=progress)
             stem = f"{keys.slug(params.get('name') or params['description'][:40])}_{int(time.time())}"
             manifest = runs.write(out, config, s, s.workspace / "datasets" / stem, stem=stem, cache=cache)
-            self.store.update(job, status="succeeded", progress=1.0, message="done", result=json.dumps(manifest))
+            self.store.update(job, result=json.dumps(manifest), message="done", progress=1.0, status="succeeded")
         except Cancelled:
             self.store.update(job, status="cancelled", message="cancelled")
         except Exception as e:  # a job's failure is its result, not the service's

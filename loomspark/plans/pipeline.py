@@ -28,24 +28,27 @@ Progress = Callable[[float, str], None]
 class Config:
     description: str
     language: str = "English"
-    target_examples: int = 200
-    seeds_per_chunk: int = 6
+    seed: int = 1234
+    # how many
     seeds_from_description: int = 40
-    diversity_threshold: float = 0.9
+    seeds_per_chunk: int = 6
+    evol_rounds: int = 1
+    evol_factor: float = 0.0
+    target_examples: int = 200
+    dpo_target_pairs: int = 50
+    generate_dpo_pairs: bool = False
+    overflow: str = "unexamined"
+    # gates
     min_judge_score: int = 7
-    min_hallucination_overlap: float = 0.35
     min_semantic_similarity: float | None = None
-    generator_model: str | None = None
+    min_hallucination_overlap: float = 0.35
+    diversity_threshold: float = 0.9
+    # models
     judge_model: str | None = None
+    generator_model: str | None = None
     embedding_model: str = "hash"
-    generator_temperature: float = 0.7
     answer_max_tokens: int = 800
-    generate_dpo_pairs: bool = False
-    dpo_target_pairs: int = 50
-    seed: int = 1234
-    evol_factor: float = 0.0
-    evol_rounds: int = 1
-    overflow: str = "unexamined"
+    generator_temperature: float = 0.7
     #: Physical knobs, which no result depends on.
     concurrency: int = 1
     wave: int = 4096

@@ -51,5 +51,5 @@ def weak() -> Column:
 
 
 def dialogue(config, turns: int) -> Column:
-    head = f'Write a conversation of exactly {turns} messages in {config.language} between a user and this assistant: {config.description}\nThe user begins, they take turns, the assistant has the last word. Reply with a JSON object {{"messages": [{{"role": "user", "content": "..."}}, ...]}}.\n<<<\n'
+    head = f'Write a conversation of exactly {turns} messages in {config.language} between a user and this assistant: {config.description}\nThe user begins, they take turns, the assistant has the last word. Reply with one JSON object whose "messages" are a list of objects with the keys role and content.\n<<<\n'
     return _join(head, F.coalesce("text", F.lit(config.description)))

@@ -25,7 +25,7 @@ from ..operators import storage
 
 
 class Provider(Protocol):
-    def generate(self, prompt: str, *, model: str | None = None, temperature: float = 0.7, max_tokens: int = 800, system: str | None = None) -> str: ...
+    def generate(self, prompt: str, *, system: str | None = None, model: str | None = None, max_tokens: int = 800, temperature: float = 0.7) -> str: ...
 
 
 @dataclass
@@ -54,17 +54,17 @@ class _Http:
 class OllamaProvider(_Http):
     """A local server's generate call."""
 
-    def generate(self, prompt: str, *, model: str | None = None, temperature: float = 0.7, max_tokens: int = 800, system: str | None = None) -> str:
-        body = {"model": model or self.default_model, "prompt": prompt, "stream": False, "options": {"temperature": temperature, "num_predict": max_tokens}}
+    def generate(self, prompt: str, *, system: str | None = None, model: str | None = None, max_tokens: int = 800, temperature: float = 0.7) -> str:
+        body = {"stream": False, "prompt": prompt, "options": {"num_predict": max_tokens, "temperature": temperature}, "model": model or self.default_model}
         return self._post("/api/generate", body | ({"system": system} if system else {})).get("response", "")
 
 
 class ChatProvider(_Http):
     """A chat-completions call; no choices give an empty reply."""
 
-    def generate(self, prompt: str, *, model: str | None = None, temperature: float = 0.7, max_tokens: int = 800, system: str | None = None) -> str:
+    def generate(self, prompt: str, *, system: str | None = None, model: str | None = None, max_tokens: int = 800, temperature: float = 0.7) -> str:
         messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
-        got = self._post("/chat/completions", {"model": model or self.default_model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens})
+        got = self._post("/chat/completions", {"temperature": temperature, "max_tokens": max_tokens, "messages": messages, "model": model or self.default_model})
         choices = got.get("choices") or []
         return (choices[0].get("message") or {}).get("content") or "" if choices else ""
 
@@ -74,7 +74,7 @@ class StubProvider:
 
     default_model = "stub"
 
-    def generate(self, prompt: str, *, model: str | None = None, temperature: float = 0.7, max_tokens: int = 800, system: str | None = None) -> str:
+    def generate(self, prompt: str, *, system: str | None = None, model: str | None = None, max_tokens: int = 800, temperature: float = 0.7) -> str:
         h = int(hashlib.sha1(prompt.encode()).hexdigest()[:8], 16)
         words = re.findall(r"\w+", prompt.rpartition("<<<")[2])
         pick = lambda k: " ".join(words[(h + k * 7) % max(1, len(words)) :][:6]) or "nothing"
@@ -85,7 +85,7 @@ class StubProvider:
             return json.dumps({"score": 4 + h % 7, "reason": f"stub {h % 10}"})
         if '"messages"' in prompt:
             turns = int((re.search(r"exactly (\d+)", prompt) or [0, "4"])[1])
-            return json.dumps({"messages": [{"role": "user" if k % 2 == 0 else "assistant", "content": f"{pick(k)} {k}"} for k in range(turns)]})
+            return json.dumps({"messages": [{"content": f"{pick(k)} {k}", "role": ("user", "assistant")[k % 2]} for k in range(turns)]})
         if "Rewrite" in prompt:
             return "Rewritten: " + f"Compare {pick(1)} with {pick(2)} step by step ({h % 997})"
         return " ".join([pick(0), pick(1), pick(2), "so it goes"])

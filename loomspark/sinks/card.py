@@ -18,16 +18,10 @@ class CardInfo:
     title: str
     description: str
     language: str
-    source_description: str
-    license: str
-    train_count: int
-    eval_count: int
-    dpo_count: int
-    rejected_count: int
-    provider: str
-    generator_model: str
-    judge_model: str
-    embedding_model: str
+    sources: str
+    models: dict[str, str]
+    counts: dict[str, int]
+    license: str = "mit"
     stats: dict[str, Any] = field(default_factory=dict)
     config: dict[str, Any] = field(default_factory=dict)
     tags: list[str] = field(default_factory=list)
@@ -58,18 +52,19 @@ def _table(rows: Iterable[tuple[str, Any]], head: str) -> list[str]:
 def render(info: CardInfo) -> str:
     """YAML head and Markdown body; a knob that isn't known is shown as ?."""
     head = ["---", "language:", f"- {code_of(info.language)}", f"license: {info.license}", "task_categories:", "- text-generation", "- question-answering", f'pretty_name: "{info.title}"']
-    head += ["size_categories:", f"- {bucket_of(info.train_count)}", "tags:", *(f"- {t}" for t in tag_list(info.tags))]
+    head += ["size_categories:", f"- {bucket_of(info.counts.get("train", 0))}", "tags:", *(f"- {t}" for t in tag_list(info.tags))]
     head += ["configs:", "- config_name: default", "  data_files:", "  - split: train", '    path: "*.train.jsonl"', "  - split: validation", '    path: "*.eval.jsonl"', "---"]
-    counts = [("train", info.train_count), ("eval", info.eval_count), ("preference pairs", info.dpo_count), ("rejected", info.rejected_count), ("language", info.language), ("license", info.license)]
-    made = [("provider", info.provider), ("generator", info.generator_model), ("judge", info.judge_model), ("embedding", info.embedding_model)] + [(label, info.config.get(k, "?")) for label, k in KNOBS]
-    body = [f"# {info.title}", "", info.description.strip(), "", "## Contents", "", *_table(counts, "part"), "", "## Making", "", f"Made from {info.source_description.strip()}: a model proposes tasks about each chunk and answers them;"]
+    counts = [*info.counts.items(), ("language", info.language), ("license", info.license)]
+    made = [*info.models.items()] + [(label, info.config.get(k, "?")) for label, k in KNOBS]
+    body = [f"# {info.title}", "", info.description.strip(), "", "## Contents", "", *_table(counts, "part"), "", "## Making", "", f"Made from {info.sources.strip()}: a model proposes tasks about each chunk and answers them;"]
     body += ["near-duplicate tasks, answers without support in their chunk and answers with a low grade are left out.", "", *_table(made, "knob"), "", "## Counters", "", *_table(info.stats.items(), "counter"), ""]
     body += ["## Use and limits", "", "For fine-tuning and preference training. Answers are a model's; for facts, read the sources. Examples without", "source chunks rest on the description alone. Check the sources for personal data before publishing.", ""]
     return "\n".join(head) + "\n\n" + "\n".join(body)
 
 
 def write(path: str | Path, info: CardInfo) -> Path:
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(render(info), encoding="utf-8")
-    return path
+    target = Path(path)
+    text = render(info)
+    target.parent.mkdir(exist_ok=True, parents=True)
+    target.write_text(text, encoding="utf-8")
+    return target

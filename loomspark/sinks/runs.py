@@ -48,16 +48,15 @@ def write(
     stats = out.stats.first().asDict() | {"elapsed_sec": out.elapsed_sec}
     n_train, n_eval = next(v for k, v in sizes.items() if k.endswith("train")), next(v for k, v in sizes.items() if k.endswith("eval"))
     knobs = {k: getattr(config, k) for k in ("description", "language", "target_examples", "min_judge_score", "diversity_threshold", "min_hallucination_overlap")}
-    models = {"provider": settings.provider, "generator_model": settings.generator_model, "judge_model": settings.judge_model, "embedding_model": settings.embedding_model}
+    models = {k: getattr(settings, k) for k in ("provider", "generator_model", "judge_model", "embedding_model")}
     if datacard:
         info = card.CardInfo(
-            f"{config.description[:60]}", config.description, config.language, sources, "mit", n_train, n_eval, sizes.get("dpo", 0), sizes["rejected"], *models.values(), stats=stats, config=knobs, tags=[config.language.lower()]
+            config.description[:60], config.description, config.language, sources, models, {"train": n_train, "eval": n_eval, "preference pairs": sizes.get("dpo", 0), "rejected": sizes["rejected"]}, stats=stats, config=knobs, tags=[config.language.lower()]
         )
         files["dataset_card"] = str(card.write(folder / "README.md", info))
     manifest = {"stats": stats, "train_size": n_train, "eval_size": n_eval, "config": knobs | models, "files": files}
     if tool_calling:
         manifest["tool_calling_count"] = sizes["tool_calling"]
-    if cache is not None:
-        manifest["cache"] = cache.stats(spark)
+    manifest |= {} if cache is None else {"cache": cache.stats(spark)}
     exports.write_json(manifest, str(folder / f"{stem}.manifest.json"))
     return manifest

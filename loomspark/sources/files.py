@@ -52,7 +52,7 @@ def fetch(url: str, timeout: float = 20.0, user_agent: str = "loomspark/1.0") ->
 
 def page_or_text(url: str, kind: str, body: str) -> str:
     """Plain text as it is, everything else as HTML."""
-    plain = "text/plain" in kind.lower() or url.split("?")[0].lower().endswith((".txt", ".md"))
+    plain = "text/plain" in kind.lower() or url.partition("?")[0].lower().rpartition(".")[2] in ("md", "txt")
     return body if plain else text_of(body) or ""
 
 

@@ -10,18 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SKIP = ("script", "style", "noscript", "template", "svg")
+SKIP = frozenset("noscript script style svg template".split())
 
 
 class Reader(HTMLParser):
     """Collects text nodes outside of the skipped elements."""
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.depth = 0
-        self.parts: list[str] = []
+    def __init__(self):
+        HTMLParser.__init__(self)
+        self.parts, self.depth = [], 0
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+    def handle_starttag(self, tag, _attributes):
         self.depth += tag in SKIP
 
     def handle_endtag(self, tag: str) -> None:
@@ -39,7 +38,8 @@ def text_of(html: str | None) -> str | None:
         return None
     reader = Reader()
     reader.feed(html)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(reader.parts)).strip()
+    lines = "\n".join(reader.parts)
+    return re.sub(r"(\n\n)\n+", r"\1", lines).strip()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,8 +56,8 @@ def test_dialogues(spark, chunks):
     got = pipeline.run_multiturn(spark, pipeline.MultiturnConfig("a guide", target=5, turns=5), chunks, StubProvider())
     rows = got.dialogues.collect()
     assert len(rows) == 5 and all(len(r["messages"]) == 4 and len(r["source_chunks"]) == 1 for r in rows)
-    one = exports.dialogues(got.dialogues, "Be kind.").first()
-    assert one["messages"][0]["role"] == "system" and len(one["messages"]) == 5
+    first, *others = exports.dialogues(got.dialogues, "Be kind.").first().messages
+    assert first.role == "system" and len(others) == 4
 
 
 def test_cache_asks_once(spark, tmp_path):
@@ -95,13 +95,14 @@ def test_tool_calls(spark):
     found = got.collect()
     assert len(found) == 2
     m = next(r for r in found if r["messages"][1]["content"] == "do it")["messages"]
-    assert m[2]["content"] is None and m[2]["tool_calls"][0]["function"]["arguments"] == '{"x":1}' and m[3]["tool_call_id"] == m[2]["tool_calls"][0]["id"]
+    (made,) = m[2].tool_calls
+    assert m[2].content is None and made.function.arguments == '{"x":1}' and m[3].tool_call_id == made.id
     line = json.loads(exports.tool_lines(got).where("value like '%do it%'").first()["value"])
-    assert "content" in line["messages"][2] and line["messages"][2]["content"] is None and line["tools"][0]["function"]["name"] == "f"
+    assert "content" in line["messages"][2] and line["messages"][2]["content"] is None and [t["function"] for t in line["tools"]] == [{"name": "f"}]
 
 
 def test_card():
-    info = card.CardInfo("T", " d ", "Italian", "text a", "mit", 1500, 10, 0, 3, "p", "g", "j", "e", {"kept": 9}, {"min_judge_score": 7}, ["Italian", "SYNTHETIC"])
+    info = card.CardInfo("T", " d ", "Italian", "text a", {"provider": "p"}, {"train": 1500}, stats={"kept": 9}, config={"min_judge_score": 7}, tags=["Italian", "SYNTHETIC"])
     text = card.render(info)
     assert "- it\n" in text and "1K<n<10K" in text and "| kept | 9 |" in text and "| Examples wanted | ? |" in text
     assert card.tag_list(["A", "a ", ""]) == ["a", *card.OWN_TAGS]
