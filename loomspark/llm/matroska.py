@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
+from . import rows
 from . import textnp as T
 
 EBML, SEGMENT, INFO, SCALE = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1
@@ -290,24 +291,25 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = None
     for batch in (part for whole_ in batches for part in T.slices(whole_, 1)):
-        rows, owner = [], []
+        found, owner = [], []
         for k, data in enumerate(batch.column(1).to_pylist()):
             got = packets(data)
-            rows += got
+            found += got
             owner += [k] * len(got)
         schema = schema or pa.schema([batch.schema.field(0), *[pa.field(n, t) for n, t in zip(Packet._fields, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))]])
-        columns = list(zip(*rows)) if rows else [[] for _ in Packet._fields]
+        columns = list(zip(*found)) if found else [[] for _ in Packet._fields]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:])]], schema=schema)
 
 
 def packet_table(media: DataFrame, ident: str, column: str = "media") -> DataFrame:
     """A row (identifier, track, codec, packet, timestamp_ns, duration_ns, keyframe, lacing, cue, begin, end) for every packet."""
     schema = ST.StructType([media.schema[ident], *ST._parse_datatype_string(SCHEMA).fields])
-    return media.select(ident, column).mapInArrow(_packets, schema)
+    return media.select(ident, column).mapInArrow(T.lean(_packets), schema)
 
 
 def text_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (identifier, media): each text as a file, its lines as packets of 40 ms; lines that don't begin with a capital letter go to track 2."""
+    rows.bound_batches(docs.sparkSession)
     lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.when(x.rlike(r"^\p{Lu}"), 1).otherwise(2).alias("track"), x.alias("text")))
     schema = ST.StructType([docs.schema[ident], ST.StructField("media", ST.BinaryType())])
-    return docs.select(ident, lines.alias("lines")).mapInArrow(_mux, schema)
+    return docs.select(ident, lines.alias("lines")).mapInArrow(T.lean(_mux), schema)

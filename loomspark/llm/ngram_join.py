@@ -215,11 +215,11 @@ def _verify(t: float):
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """One row (c, sid, docs, ks, size, first) for each distinct set; docs and ks list its rows' ids and keys by id."""
+    """One row (c, sid, docs, ks, size, first, key) for each distinct set; docs and ks list its rows' ids and keys by id."""
     found = docs.where("text is not null and doc_id is not null").select("doc_id", F.lower("text").alias("text"), rows.row_key().alias("k"))
-    each = found.mapInArrow(_classes(n), "doc_id bigint, k bigint, sid bigint, sid2 bigint, size int")
+    each = found.mapInArrow(T.lean(_classes(n)), "doc_id bigint, k bigint, sid bigint, sid2 bigint, size int")
     grouped = each.groupBy("sid", "sid2").agg(F.array_sort(F.collect_list(F.struct("doc_id", "k"))).alias("of"), F.max("size").alias("size"))
-    return grouped.select(F.xxhash64("sid", "sid2").alias("c"), "sid", F.col("of.doc_id").alias("docs"), F.col("of.k").alias("ks"), "size", F.col("of.doc_id")[0].alias("first"))
+    return grouped.select(F.xxhash64("sid", "sid2").alias("c"), "sid", F.col("of.doc_id").alias("docs"), F.col("of.k").alias("ks"), "size", F.col("of.doc_id")[0].alias("first"), F.col("of.k")[0].alias("key"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -241,19 +241,19 @@ def class_pairs(docs: DataFrame, by_class: DataFrame, n: int = N, threshold: flo
     spark = docs.sparkSession
     low = docs.where("text is not null and doc_id is not null").select(F.lower("text").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = low.mapInArrow(_keys(n, threshold), "key bigint, sid bigint, tag int").repartition(tasks, "key").sortWithinPartitions("key")
-    shared = keys.mapInArrow(_shared, "sid bigint, key bigint, freq int, tag int").repartition(tasks, "sid").sortWithinPartitions("sid")
-    rare = shared.mapInArrow(_rarest, "key bigint, sid bigint").repartition(tasks, "key").sortWithinPartitions("key")
-    found = rows.cut(rare.mapInArrow(_run_pairs, "a bigint, b bigint").distinct())
+    keys = low.mapInArrow(T.lean(_keys(n, threshold)), "key bigint, sid bigint, tag int").repartition(tasks, "key").sortWithinPartitions("key")
+    shared = keys.mapInArrow(T.lean(_shared), "sid bigint, key bigint, freq int, tag int").repartition(tasks, "sid").sortWithinPartitions("sid")
+    rare = shared.mapInArrow(T.lean(_rarest), "key bigint, sid bigint").repartition(tasks, "key").sortWithinPartitions("key")
+    found = rows.cut(rare.mapInArrow(T.lean(_run_pairs), "a bigint, b bigint").distinct())
     of = by_class.select("c", "sid", "size")
     a, b = (of.select(F.col("sid").alias(s), F.col("c").alias(f"c{s}"), F.col("size").alias(f"s{s}")) for s in "ab")
     cand = found.join(a, "a").join(b, "b").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("ca", "cb")
     cand = rows.cut(cand)
     ends = cand.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
     # sets are computed again for one text of each candidate class only
-    reps = by_class.join(ends, "c", "left_semi").select("c", "sid", F.col("first").alias("doc_id"))
-    texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text"))
-    mine = texts.join(rows.small(reps), "doc_id").select("c", "text").mapInArrow(_sets(n), "c bigint, grams binary").dropDuplicates(["c"])
+    reps = by_class.join(ends, "c", "left_semi").select("c", "key")
+    texts = docs.where("text is not null").select(rows.row_key().alias("key"), F.lower("text").alias("text"))
+    mine = texts.join(rows.small(reps), "key").select("c", "text").mapInArrow(T.lean(_sets(n)), "c bigint, grams binary").dropDuplicates(["c"])
     # a connected group of candidates is one tile, to which each of its sets is sent once; a group of many pairs is several
     label = components(cand).select(F.col("c").alias("ca"), "l")
     tiled = cand.join(label, "ca")

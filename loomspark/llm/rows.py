@@ -12,12 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most rows of a side that is broadcast; a larger side is joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+from .textnp import lean
+
+#: Most numbers of a side that is broadcast, counting those in its arrays; a larger side is joined by shuffling.
+BROADCAST_CELLS = 4_000_000
+#: Most bytes of an Arrow batch that goes to Python, and the session's setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Limits the Arrow batches of this session by their bytes, which texts of any length need; rows a batch stay as they are."""
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > most:
+        spark.conf.set(BATCH_SETTING, str(most))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of its own only where none is set, as in tests."""
+    bound_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not have.isDefined():
@@ -36,9 +47,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.col(text).isNull())
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame, marked for broadcast if it is at most `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, cells: Column | None = None, most: int = BROADCAST_CELLS) -> DataFrame:
+    """The frame, marked for broadcast if it has at most `most` numbers; cells says how many a row has (its columns, by default)."""
+    each = F.lit(len(df.columns)) if cells is None else cells
+    total = df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= most else df
 
 
 def without(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -80,7 +93,7 @@ def offsets(df: DataFrame, group: str, order: list[str], value: str) -> tuple[Da
     """
     spark = df.sparkSession
     schema = T.StructType([*df.schema.fields, T.StructField("before", T.LongType()), T.StructField("pid", T.IntegerType())])
-    spread = cut(cut(df).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(_running(group, value), schema))
+    spread = cut(cut(df).repartitionByRange(group, *order).sortWithinPartitions(group, *order).mapInArrow(lean(_running(group, value)), schema))
     parts = spread.groupBy(group, "pid").agg(F.max(F.col("before") + F.col(value)).alias("n")).orderBy(group, "pid").collect()
     sums: dict[str, int] = {}
     base = []

@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as ST
 
 from . import piece_model as M
+from . import rows
 from . import textnp as T
 
 U = np.uint64
 LONG = 400
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 3 << 20
+CHUNK = 1 << 20
+#: Characters of new words that advance together, about.
+STEP = 300_000
 MARK = ord(M.SPACE)
 
 
@@ -110,17 +113,17 @@ class Encoder:
         before[off[:-1]] = 0
         room = np.repeat(np.diff(off), np.diff(off)) - local
         begin, end, token = [], [], []
-        p = np.arange(n)
+        p = np.arange(n, dtype=np.int32)
         size = 1
         while len(p):  # only where a piece goes on
             k = self.find(inner[p + (size - 1)] - before[p] * t.powers[size])
             piece = np.where(k >= 0, t.prefix_piece[k], -1)
             if size == 1:
                 lone = piece < 0
-                begin.append(p[lone]), end.append(p[lone]), token.append(-1 - points[p[lone]].astype(np.int64))
+                begin.append(p[lone]), end.append(p[lone]), token.append((-1 - points[p[lone]]).astype(np.int32))
             hit = np.flatnonzero(piece >= 0)
             hit = hit[t.alive[piece[hit]]]
-            begin.append(p[hit]), end.append(p[hit] + (size - 1)), token.append(piece[hit].astype(np.int64))
+            begin.append(p[hit]), end.append(p[hit] + (size - 1)), token.append(piece[hit].astype(np.int32))
             p = p[(k >= 0) & (room[p] > size)]
             size += 1
         begin, end, token = map(np.concatenate, (begin, end, token))
@@ -185,8 +188,11 @@ class Encoder:
         """Encodes new words."""
         size = np.diff(off)
         parts_flat, parts_n, parts_h = [], [], []
-        short = np.flatnonzero(size <= LONG)
-        if len(short):
+        every = np.flatnonzero(size <= LONG)
+        parts = np.searchsorted(np.cumsum(size[every]), np.arange(STEP, int(size[every].sum()) + STEP, STEP))
+        for short in np.split(every, parts[:-1]) if len(every) else []:
+            if not len(short):
+                continue
             p = points[ranges(off[short], size[short])]
             x, n = self.viterbi(p, np.append(0, np.cumsum(size[short])))
             ids, each = self.ids_of(x)
@@ -322,8 +328,9 @@ def _encode(t: M.Tables):
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """A row (doc_id, ids, n_tokens, exact) for every document; exact: decoding the ids gives the text."""
+    rows.bound_batches(docs.sparkSession)
     schema = ST.StructType([docs.schema["doc_id"], *ST._parse_datatype_string("ids array<int>, n_tokens int, exact boolean").fields])
-    return docs.select("doc_id", "text").mapInArrow(_encode(M.tables(model)), schema)
+    return docs.select("doc_id", "text").mapInArrow(T.lean(_encode(M.tables(model))), schema)
 
 
 def _decode(t: M.Tables):
@@ -342,4 +349,4 @@ def _decode(t: M.Tables):
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """Rows (doc_id, text) of rows (doc_id, ids)."""
     schema = ST.StructType([tokens.schema["doc_id"], ST.StructField("text", ST.StringType())])
-    return tokens.select("doc_id", "ids").mapInArrow(_decode(M.tables(model)), schema)
+    return tokens.select("doc_id", "ids").mapInArrow(T.lean(_decode(M.tables(model))), schema)

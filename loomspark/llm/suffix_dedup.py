@@ -37,7 +37,7 @@ U = np.uint64
 LEAST, RUN = 50, 8
 GROW = U(0x9E3779B97F4A7C15)
 #: Words of the regions of one shard, as far as whole anchors allow.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 
 
 def _sort(text: list[int], top: int) -> list[int]:
@@ -207,10 +207,11 @@ def _regions(least: int, run: int):
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions whose anchor occurs more than once; `first` marks the earliest of equal ones. Rows come sorted by anchor."""
-    for columns in rows.whole_groups(batches):
+    for columns in rows.whole_groups(batches, 4):
         doc, k, p, w, a, r = columns
         at = np.lexsort((p, k, doc, r, a))
-        doc, k, p, w, a, r = (x[at] for x in columns)
+        once = np.append(True, (a[at][1:] != a[at][:-1]) | (k[at][1:] != k[at][:-1]) | (p[at][1:] != p[at][:-1]))  # rows with one doc_id and text are one document
+        doc, k, p, w, a, r = (x[at[once]] for x in columns)
         new = np.append(True, a[1:] != a[:-1])
         run = np.cumsum(new) - 1
         many = np.bincount(run)[run] > 1
@@ -337,21 +338,20 @@ def spans(docs: DataFrame, least: int = LEAST, run: int = RUN) -> DataFrame:
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), rows.row_key().alias("k"), F.lower("text").alias("text"))
-    found = texts.mapInArrow(_regions(least, run), "doc_id bigint, k bigint, p int, w int, a bigint, r bigint")
+    found = texts.mapInArrow(T.lean(_regions(least, run)), "doc_id bigint, k bigint, p int, w int, a bigint, r bigint")
     spread = found.repartition(tasks, "a").sortWithinPartitions("a")
-    # rows with one doc_id and text are one document
-    many = rows.cut(spread.mapInArrow(_once, found.schema).mapInArrow(_repeated, "doc_id bigint, k bigint, p int, w int, a bigint, r bigint, first boolean"))
+    many = rows.cut(spread.mapInArrow(T.lean(_repeated), "doc_id bigint, k bigint, p int, w int, a bigint, r bigint, first boolean"))
     wanted = many.where("first").groupBy("k").agg(F.collect_list(F.struct("p", "w", "a", "r")).alias("wanted"))
-    once = texts.join(rows.small(wanted), "k").select("doc_id", "k", "text", "wanted")
-    cut = once.mapInArrow(_cut_out(least), "a bigint, doc_id bigint, k bigint, p int, w int, words array<bigint>, r bigint")
+    once = texts.join(rows.small(wanted, 4 * F.size("wanted")), "k").select("doc_id", "k", "text", "wanted")
+    cut = once.mapInArrow(T.lean(_cut_out(least)), "a bigint, doc_id bigint, k bigint, p int, w int, words array<bigint>, r bigint")
     shards = cut.repartition(tasks, "a").sortWithinPartitions("a", "doc_id", "k", "p")
-    judged = rows.cut(shards.mapInArrow(_verdicts(least), "a bigint, r bigint, doc_id bigint, k bigint, spans array<struct<b: int, e: int, first_doc: bigint>>, least_doc bigint"))
+    judged = rows.cut(shards.mapInArrow(T.lean(_verdicts(least)), "a bigint, r bigint, doc_id bigint, k bigint, spans array<struct<b: int, e: int, first_doc: bigint>>, least_doc bigint"))
     own = judged.select("k", "doc_id", F.explode("spans").alias("x")).select("k", "doc_id", "x.*")
     # a region equal to an earlier one repeats throughout
     copies = many.where("not first").join(judged.select("a", "r", F.col("least_doc").alias("first_doc")), ["a", "r"])
     copies = copies.select("k", "doc_id", F.col("p").alias("b"), (F.col("p") + F.col("w") + least - 1).alias("e"), "first_doc")
     both = own.union(copies).repartition(tasks, "k").sortWithinPartitions("k")
-    return both.mapInArrow(_merge, "doc_id bigint, k bigint, begin_word int, end_word int, first_doc bigint")
+    return both.mapInArrow(T.lean(_merge), "doc_id bigint, k bigint, begin_word int, end_word int, first_doc bigint")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,10 +385,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clean(docs: DataFrame, least: int = LEAST, run: int = RUN) -> DataFrame:
     """docs with the spans cut from their texts; a document of which no word is left goes. n_chars, if there, follows the text."""
     found = rows.cut(spans(docs, least, run)).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("begin_word", "end_word"))).alias("__ls_spans"))
-    found = rows.small(found.select(F.col("k").alias("__ls_k"), "__ls_spans"))
+    found = rows.small(found.select(F.col("k").alias("__ls_k"), "__ls_spans"), 2 * F.size("__ls_spans"))
     keyed = docs.withColumn("__ls_row", rows.row_key()).join(found, F.col("__ls_row") == F.col("__ls_k"), "left").drop("__ls_row", "__ls_k")
     whole = keyed.where("__ls_spans is null").drop("__ls_spans")
-    cut = keyed.where("__ls_spans is not null").mapInArrow(_without, docs.schema).where(F.col("text").rlike(f"[^{T.SEPARATORS[1:-2]}]"))
+    cut = keyed.where("__ls_spans is not null").mapInArrow(T.lean(_without), docs.schema).where(F.col("text").rlike(f"[^{T.SEPARATORS[1:-2]}]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return whole.union(cut)
@@ -397,11 +397,3 @@ def clean(docs: DataFrame, least: int = LEAST, run: int = RUN) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, run: int = RUN) -> DataFrame:
     """Rows (doc_id, begin_word, end_word, first_doc): all spans of the documents."""
     return spans(docs, least, run).drop("k")
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for columns in rows.whole_groups(batches, 4):
-        doc, k, p, w, a, r = columns
-        at = np.lexsort((p, k, a))
-        keep = np.append(True, (a[at][1:] != a[at][:-1]) | (k[at][1:] != k[at][:-1]) | (p[at][1:] != p[at][:-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[at][keep]) for x in columns], ["doc_id", "k", "p", "w", "a", "r"])

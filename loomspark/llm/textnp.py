@@ -6,6 +6,7 @@ characters; callers lower-case the text in Spark first. Every text is read whole
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,29 @@ _WORD = np.zeros(256, dtype=bool)
 _WORD[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = True
 #: The same word rule for regular expressions of Java and RE2.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can; idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(work):
+    """work over Arrow batches, with memory given back after each batch that it yields and at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(batches):
+            yield batch
+            del batch
+            trim()
+        trim()
+
+    return run
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -280,9 +280,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
     n_bad, n_good = toxic.where("toxic").count(), toxic.where("not toxic").count()
     texts = docs.where("text is not null").select("doc_id", "text")
     of = lambda which: texts.join(F.broadcast(toxic.where(which).select("doc_id")), "doc_id").select(F.lower("text").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    seen = of("toxic").mapInArrow(_placed, "word string, before string, doc_id bigint")
+    seen = of("toxic").mapInArrow(T.lean(_placed), "word string, before string, doc_id bigint")
     bad = {w: n for w, p, n in seen.groupBy("word").agg(F.countDistinct("before").alias("p"), F.countDistinct("doc_id").alias("n")).where(F.col("p") >= LEARN_DOCS).collect() if n >= LEARN_DOCS}
-    found = of("not toxic").mapInArrow(_counted(sorted(bad), lexicon()), "word string, n bigint, near boolean").groupBy("word", "near").sum("n").collect()
+    found = of("not toxic").mapInArrow(T.lean(_counted(sorted(bad), lexicon())), "word string, n bigint, near boolean").groupBy("word", "near").sum("n").collect()
     good = {w: n for w, near, n in found if not near}
     learnt = [w for w in sorted(bad) if n_good and (bad[w] / n_bad) / ((good.get(w, 0) + 1) / n_good) >= LEARN_RATIO]
     return learnt, sorted({w for w, near, _ in found if near} - set(learnt))
@@ -304,8 +304,9 @@ def _score(a: Automaton):
 
 
 def scored(docs: DataFrame, a: Automaton) -> DataFrame:
+    rows.bound_batches(docs.sparkSession)
     schema = ST.StructType([docs.schema["doc_id"], *ST._parse_datatype_string("k bigint, score double, matches bigint, quoted bigint, toxic boolean").fields])
-    return docs.select("doc_id", rows.row_key().alias("k"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(_score(a), schema)
+    return docs.select("doc_id", rows.row_key().alias("k"), F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(T.lean(_score(a)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -133,4 +133,4 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, limit: float
     if labelled is None:
         labelled = pages.select("url", seeded().alias("label"))
     schema = ST.StructType([pages.schema["page_id"], pages.schema["url"], *ST._parse_datatype_string("score double, keep boolean").fields])
-    return pages.select("page_id", "url").mapInArrow(_apply(fit(labelled), limit), schema)
+    return pages.select("page_id", "url").mapInArrow(T.lean(_apply(fit(labelled), limit)), schema)

@@ -169,6 +169,15 @@ def test_keep_one_keeps_the_first_of_each_group(spark, corpus):
     assert kept.columns == docs_of(spark, corpus).columns and ngram_join.keep_one(empty(spark)).count() == 0
 
 
+def test_one_identifier_with_different_texts(spark):
+    rng = random.Random(2)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " end", "s"), (3, b + " end", "s")]
+    got = ngram_join.ngram_jaccard_join(docs_of(spark, rows)).collect()
+    assert sorted((r["docs_a"][0], r["docs_b"][0]) for r in got) == [(1, 2), (1, 3)]
+    assert sorted(r["text"] for r in ngram_join.keep_one(docs_of(spark, rows)).collect()) == sorted([a, b])
+
+
 # 3 nearest neighbours
 
 
