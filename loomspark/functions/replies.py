@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
-
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: it is bound to a lambda's variable instead of being repeated."""
-    return F.transform(F.array(value), use)[0]
-
+from .text import let, strip
 
 PREFIXES = tuple(f"{lead}:" for lead in "Rewritten instruction|Rewritten|Instruction".split("|"))
 

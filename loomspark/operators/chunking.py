@@ -37,6 +37,7 @@ def chunk_bounds(lengths: Column, target: int, overlap: int) -> Column:
             F.struct((acc.i - kept.n).alias("a"), (acc.i + 1).alias("i"), (kept.size + n + 1).alias("size"), F.concat(acc.cuts, F.array(F.struct(acc.a.alias("a"), acc.i.alias("b")))).alias("cuts")),
         ).otherwise(F.struct(acc.a.alias("a"), (acc.i + 1).alias("i"), (acc.size + n + 1).alias("size"), acc.cuts.alias("cuts")))
 
+    # lengths must be a variable by now: a lambda would compute an expression again at every step
     return F.aggregate(lengths, start, fold, lambda acc: F.when(acc.i > 0, F.concat(acc.cuts, F.array(F.struct(acc.a.alias("a"), acc.i.alias("b"))))).otherwise(acc.cuts))
 
 
@@ -45,10 +46,13 @@ def chunk_text(docs: DataFrame, source: str, text: str = "text", target_chars: i
     if target_chars < 1:
         raise ValueError("a chunk needs a target of at least one character")
     overlap = max(0, min(overlap_chars, target_chars // 2))
-    cut = docs.select(F.col(source).cast("string").alias("source"), X.split_sentences(X.normalize(F.col(text))).alias("s"))
-    bounds = cut.withColumn("bounds", chunk_bounds(F.transform("s", F.length), target_chars, overlap))
-    each = bounds.select("source", "s", F.posexplode("bounds").alias("index", "x"))
-    body = each.select("source", "index", F.array_join(F.slice("s", F.col("x.a") + 1, F.col("x.b") - F.col("x.a")), " ").alias("text"))
+
+    def bodies(sentences: Column) -> Column:
+        bounds = X.let(F.transform(sentences, F.length), lambda n: chunk_bounds(n, target_chars, overlap))
+        return F.transform(bounds, lambda x: F.array_join(F.slice(sentences, x.a + 1, x.b - x.a), " "))
+
+    chunks = X.let(X.split_sentences(X.normalize(F.col(text))), bodies)
+    body = docs.select(F.col(source).cast("string").alias("source"), F.posexplode(chunks).alias("index", "text"))
     return body.select(
         X.chunk_id(F.col("source"), F.col("index"), F.col("text")).alias("id"), "text", "source", "index", F.struct(F.length("text").alias("char_count")).alias("metadata")
     )
