@@ -34,9 +34,9 @@ from . import textnp as T
 U = np.uint64
 LONG = 400
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 20
+CHUNK = 3 << 20
 #: Characters of new words that advance together, about.
-STEP = 300_000
+STEP = 1_000_000
 MARK = ord(M.SPACE)
 
 
