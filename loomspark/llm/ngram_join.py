@@ -11,7 +11,12 @@ more than D chunks with bits, some agreeing chunk has bits. The rare sets with f
 fell into few chunks) are also joined among themselves on single grams. If a set must agree with its
 partner in m chunks, its m - 1 most frequent ones (of all sets, ties by hash) need not be joined on:
 two sets that agree in m have a common one among the others. So passages that many documents share
-make no candidates. All this is exact, up to 64-bit hash collisions of sets and keys and 48-bit ones of grams.
+make no candidates.
+
+Up to t = 0.5 two sets may differ in as many grams as the smaller one has, so that agreeing chunks can't be
+promised, and sets are joined on single grams: a set of s grams shares at least a = ceil(t*s) with any partner.
+So the first s - a + m of both sets by hash hold at least m common ones, of which the m - 1 most frequent need not be joined
+on; m is 1 + a // 2, which grows no faster than a, so it holds for sets of different sizes too. All this is exact, up to 64-bit hash collisions of sets and keys and 48-bit ones of grams.
 Candidates are verified on the sets.
 
 Identical sets are joined once, as a class, so a text with thousands of copies costs no more pairs
@@ -37,7 +42,8 @@ from pyspark.sql import functions as F
 from . import rows
 from . import textnp as T
 
-N, THRESHOLD, BAND = 5, 0.8, 1.5
+#: A replaced word takes five 5-grams along: copies with 5 to 10 % of their words edited are at 0.4 to 0.65, other documents below.
+N, THRESHOLD, BAND = 5, 0.4, 1.5
 PAIRS_A_TILE = 400_000
 U = np.uint64
 OUT = "docs_a array<bigint>, docs_b array<bigint>, n_a int, n_b int, common int, jaccard double"
@@ -61,9 +67,14 @@ def distance_bound(size: float, t: float) -> int:
     return math.floor((1 - t) / (1 + t) * 2 * size + 1e-9)
 
 
+def band_of(t: float) -> float:
+    """Ratio of a band's sizes: a set's partners are in its own band and the next ones only."""
+    return max(BAND, 1 / t)
+
+
 def chunks_of(scheme: int, t: float) -> int:
     """K of a band's scheme: more than D, with room for chunks without bits."""
-    return math.floor(1.15 * distance_bound(BAND ** (scheme + 1), t)) + 3
+    return math.floor(1.15 * distance_bound(band_of(t) ** (scheme + 1), t)) + 3
 
 
 def _classes(n: int):
@@ -81,6 +92,8 @@ def _classes(n: int):
 
 
 def _keys(n: int, t: float):
+    ratio = band_of(t)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, 0):
@@ -88,11 +101,17 @@ def _keys(n: int, t: float):
                 g, off = T.gram_sets(h, row, n)
                 sid, _ = _set_ids(g, off)
                 size = np.diff(off)
+                if t <= 0.5:
+                    least = np.ceil(t * size - 1e-9).astype(np.int64)
+                    owner = np.repeat(np.arange(len(size)), size)
+                    pick = np.arange(len(g)) - off[owner] < (size - least + least // 2 + 1)[owner]
+                    yield pack(T.mix(g[pick] ^ U(0x9E3779B97F4A7C15)), sid[owner[pick]], (least // 2 * 4 + 2)[owner[pick]])
+                    continue
                 band = np.full(len(size), -1)
                 some = size > 0
-                band[some] = np.floor(np.log(size[some]) / math.log(BAND) + 1e-9)
+                band[some] = np.floor(np.log(size[some]) / math.log(ratio) + 1e-9)
                 for up in (0, 1):  # a set meets larger ones in the scheme of the next band
-                    top = np.floor(BAND ** (band + 1.0) + 1e-9)
+                    top = np.floor(ratio ** (band + 1.0) + 1e-9)
                     use = some if not up else some & (np.floor(size / t + 1e-9) > top)
                     r = np.flatnonzero(use)
                     if not len(r):
@@ -110,7 +129,7 @@ def _keys(n: int, t: float):
                     bits = parity != 0
                     o, c, parity = o[bits], c[bits], parity[bits]
                     key = T.mix(parity ^ T.mix(scheme.astype(U)[o] * U(1 << 40) + c.astype(U)))
-                    bound = np.minimum(np.floor((1 - t) / t * lens + 1e-9), np.floor((1 - t) / (1 + t) * 2 * BAND ** (scheme + 1.0) + 1e-9)).astype(np.int64)
+                    bound = np.minimum(np.floor((1 - t) / t * lens + 1e-9), np.floor((1 - t) / (1 + t) * 2 * ratio ** (scheme + 1.0) + 1e-9)).astype(np.int64)
                     have = np.bincount(o, minlength=len(r))
                     yield pack(key, sid[r][o], (np.maximum(have - bound - 1, 0) * 4 + up)[o])
                     # sets with too few chunks with bits for the pigeonhole
