@@ -196,13 +196,13 @@ def matches(a: Automaton, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, word, start[word], a.final[state], a.kind[state]
 
 
-def scores(a: Automaton, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score, matches and quoted matches of each text of the column (lower case)."""
+def _hits(a: Automaton, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first code point, weight, whether quoted and whether addressed, of the terms in the column's texts (lower case)."""
     row, word, start, weight, kind = matches(a, col)
-    n = len(col)
     hit = weight > 0
     if not hit.any():
-        return np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)
     near = lambda wanted: _near(word[hit], row[hit], word[kind == wanted], row[kind == wanted])
     points, off = _points(col)
     mark = np.cumsum(np.isin(points, MARKS))
@@ -210,8 +210,15 @@ def scores(a: Automaton, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndar
     opened = mark[start[hit]] - np.append(0, mark)[off[row[hit]]]
     closes = np.append(0, mark)[off[row[hit] + 1]] - mark[start[hit]]
     quoted = ((opened % 2 == 1) & (closes > 0)) | near(QUOTES)
-    factor = np.where(quoted, QUOTED, np.where(near(ADDRESSES), ADDRESSED, 1.0))
-    return np.bincount(row[hit], weight[hit] * factor, n), np.bincount(row[hit], minlength=n), np.bincount(row[hit], quoted, n).astype(np.int64)
+    return row[hit], start[hit], weight[hit], quoted, near(ADDRESSES)
+
+
+def scores(a: Automaton, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, matches and quoted matches of each text of the column (lower case)."""
+    row, _, weight, quoted, addressed = _hits(a, col)
+    n = len(col)
+    factor = np.where(quoted, QUOTED, np.where(addressed, ADDRESSED, 1.0))
+    return np.bincount(row, weight * factor, n).astype(float), np.bincount(row, minlength=n), np.bincount(row, quoted, n).astype(np.int64)
 
 
 def _near(word: np.ndarray, row: np.ndarray, other: np.ndarray, other_row: np.ndarray) -> np.ndarray:
@@ -242,8 +249,8 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words, before, part.column(1).take(pa.array(row))], ["word", "before", "doc_id"]).filter(keep)
 
 
-def _counted(wanted: list[str], listed: Automaton):
-    """(word, n, near): in how many texts of a batch each wanted word is, and each that a listed term's automaton accepts with edits."""
+def _counted(wanted: list[str]):
+    """(word, n): in how many texts of a batch each wanted word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(wanted, pa.string())
@@ -254,38 +261,58 @@ def _counted(wanted: list[str], listed: Automaton):
                 here = pc.is_valid(code).to_numpy(zero_copy_only=False)
                 pairs = np.unique(np.stack([code.filter(pa.array(here)).to_numpy(), row[here]], 1), axis=0)
                 n = np.bincount(pairs[:, 0], minlength=len(wanted))
-                yield pa.RecordBatch.from_arrays([values.filter(pa.array(n > 0)), pa.array(n[n > 0]), pa.array(np.zeros((n > 0).sum(), bool))], ["word", "n", "near"])
-                _, word, start, weight, _ = matches(listed, part.column(0))
-                points, _ = _points(part.column(0))
-                loose = []
-                for first in start[(weight > 0) & (weight < 1)]:
-                    end = first
-                    while end < len(points) and _LETTER[points[end]]:
+                yield pa.RecordBatch.from_arrays([values.filter(pa.array(n > 0)), pa.array(n[n > 0])], ["word", "n"])
+
+    return run
+
+
+def _misspelt(a: Automaton):
+    """(word, before, doc_id): the unquoted words that the automaton accepts with edits, with the word before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, 0):
+                row, start, weight, quoted, _ = _hits(a, part.column(0))
+                pick = (weight < 1) & ~quoted
+                points, off = _points(part.column(0))
+                found = []
+                for r, first in zip(row[pick], start[pick]):
+                    end, stop = first, first - 1
+                    while end < off[r + 1] and _LETTER[points[end]]:
                         end += 1
-                    loose.append("".join(map(chr, points[first:end])))
-                if loose:
-                    yield pa.RecordBatch.from_arrays([pa.array(loose), pa.array(np.ones(len(loose), np.int64)), pa.array(np.ones(len(loose), bool))], ["word", "n", "near"])
+                    while stop >= off[r] and not _LETTER[points[stop]]:
+                        stop -= 1
+                    begin = stop
+                    while begin >= off[r] and _LETTER[points[begin]]:
+                        begin -= 1
+                    found.append(("".join(map(chr, points[first:end])), "".join(map(chr, points[begin + 1 : stop + 1]))))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found]), pa.array([b for _, b in found]), part.column(1).take(pa.array(row[pick]))], ["word", "before", "doc_id"])
 
     return run
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[str]]:
-    """Words that the labels show to be toxic, and words like a listed term that are not; at most TRAIN_ROWS labelled documents are read.
+    """Words that the labels show to be toxic, and words like a term that are not; at most TRAIN_ROWS labelled documents are read.
 
     Occurrences count by the different words before them, so that copies of a document teach nothing. A
-    word that a listed term's automaton accepts with edits, but that a labelled document without toxicity has, is innocent.
+    word that a term's automaton accepts with edits is innocent if LEARN_DOCS documents without toxicity have it
+    unquoted, unless its rate in toxic documents is LEARN_RATIO times that in others.
     """
     toxic = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     toxic = rows.cut(toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) if toxic.count() > TRAIN_ROWS else toxic)
     n_bad, n_good = toxic.where("toxic").count(), toxic.where("not toxic").count()
     texts = docs.where("text is not null").select("doc_id", "text")
     of = lambda which: texts.join(F.broadcast(toxic.where(which).select("doc_id")), "doc_id").select(F.lower("text").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"))
-    seen = of("toxic").mapInArrow(T.lean(_placed), "word string, before string, doc_id bigint")
+    form = "word string, before string, doc_id bigint"
+    seen = of("toxic").mapInArrow(T.lean(_placed), form)
     bad = {w: n for w, p, n in seen.groupBy("word").agg(F.countDistinct("before").alias("p"), F.countDistinct("doc_id").alias("n")).where(F.col("p") >= LEARN_DOCS).collect() if n >= LEARN_DOCS}
-    found = of("not toxic").mapInArrow(T.lean(_counted(sorted(bad), lexicon())), "word string, n bigint, near boolean").groupBy("word", "near").sum("n").collect()
-    good = {w: n for w, near, n in found if not near}
+    good = dict(of("not toxic").mapInArrow(T.lean(_counted(sorted(bad))), "word string, n bigint").groupBy("word").sum("n").collect())
     learnt = [w for w in sorted(bad) if n_good and (bad[w] / n_bad) / ((good.get(w, 0) + 1) / n_good) >= LEARN_RATIO]
-    return learnt, sorted({w for w, near, _ in found if near} - set(learnt))
+    loose = lambda which: of(which).mapInArrow(T.lean(_misspelt(lexicon(learnt))), form).groupBy("word").agg(F.countDistinct("before").alias("p"), F.countDistinct("doc_id").alias("n"))
+    clean = {w: n for w, p, n in loose("not toxic").where(F.col("p") >= LEARN_DOCS).collect() if n >= LEARN_DOCS}
+    rude = {w: n for w, _, n in loose("toxic").where(F.col("word").isin(sorted(clean))).collect()} if clean and n_bad else {}
+    return learnt, sorted(w for w, n in clean.items() if not n_bad or (rude.get(w, 0) / n_bad) / (n / n_good) < LEARN_RATIO)
 
 
 def lexicon(learnt: list[str] = [], innocent: list[str] = []) -> Automaton:
