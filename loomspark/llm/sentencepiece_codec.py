@@ -8,13 +8,13 @@ highest sum of scores. For a BPE model it is the one edge whose piece the greedy
 next to the piece that ends at its start: neighbours are tested by undoing their merges, latest first,
 and probing whether a merge across the boundary would have come before. Both are exact.
 
-Words already seen by the task are not encoded again. A word of more than LONG characters is merged
+Words already seen by the task are not encoded again, as long as they fit in a table of KNOWN words, which then starts again. A word of more than LONG characters is merged
 by a heap instead (the same result, without a step of the whole batch for each character).
 
 Decoding joins the pieces' bytes; it gives back the text exactly, except that a literal U+2581 becomes a space, as
 with the model's own library.
 
-Defined cases: a null text gives null ids and null elsewhere; an empty text no ids; repeated rows are encoded alike; a null doc_id is
+Defined cases: bytes that are not UTF-8 are read as U+FFFD, and the row isn't exact; a null text gives null ids and null elsewhere; an empty text no ids; repeated rows are encoded alike; a null doc_id is
 carried; an empty table gives no rows; only the identifier and text columns are read.
 """
 
@@ -34,9 +34,11 @@ from . import textnp as T
 U = np.uint64
 LONG = 400
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 #: Characters of new words that advance together, about.
-STEP = 1_000_000
+STEP = 300_000
+#: Most words and ids that are kept encoded; when they would be more, those of the range at hand are encoded anew.
+KNOWN, KNOWN_IDS = 500_000, 4_000_000
 MARK = ord(M.SPACE)
 
 
@@ -53,11 +55,24 @@ class Encoder:
 
     def __init__(self, t: M.Tables):
         self.t = t
+        self.forget()
+        self.runs: dict[int, list[int]] = {}
+        self.by_id = np.zeros(int(t.piece_id.max()) + 1, np.int64)
+        self.by_id[t.piece_id] = np.arange(len(t.piece_id))
+
+    def forget(self) -> None:
+        """Empties the table of words: sorted hashes, and where in `flat` their ids begin and how many they are."""
         self.known = np.zeros(0, U)
         self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
-        self.runs: dict[int, list[int]] = {}
+        self.used = 0
+
+    def unknown(self, u: np.ndarray) -> np.ndarray:
+        """Which of these hashes, ascending, the table hasn't."""
+        if not len(self.known):
+            return np.ones(len(u), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, u), len(self.known) - 1)] != u
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the piece prefixes with these hashes, -1 for none."""
@@ -209,17 +224,14 @@ class Encoder:
             ids, _ = self.ids_of(numbers)
             parts_flat.append(ids), parts_n.append(np.array([len(ids)])), parts_h.append(h[w : w + 1])
         flat, n, hs = np.concatenate(parts_flat), np.concatenate(parts_n), np.concatenate(parts_h)
-        at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.flat = np.concatenate([self.flat, flat])
-        known, count = np.concatenate([self.known, hs]), np.concatenate([self.size, n])
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], at[order], count[order]
-
-    @property
-    def by_id(self) -> np.ndarray:
-        out = np.zeros(int(self.t.piece_id.max()) + 1, np.int64)
-        out[self.t.piece_id] = np.arange(len(self.t.piece_id))
-        return out
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.append(self.flat[: self.used], np.zeros(max(self.used, len(flat)) + len(flat), np.int32))
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        order = np.argsort(hs)
+        into = np.searchsorted(self.known, hs[order])
+        self.known, self.at, self.size = np.insert(self.known, into, hs[order]), np.insert(self.at, into, at[order]), np.insert(self.size, into, n[order])
 
     def run(self, length: int) -> list[int]:
         """Ids of that many space marks."""
@@ -232,7 +244,7 @@ class Encoder:
         """Ids of all texts, and each text's count."""
         raw, off = T.buffers(col)
         rows_n = len(off) - 1
-        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype=np.uint32)
         chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[off]
         # a space mark before every text that isn't empty
         some = np.flatnonzero(np.diff(chars) > 0)
@@ -258,14 +270,17 @@ class Encoder:
         h = T.mix(h + length.astype(U))
         words = np.flatnonzero(~is_run)
         u, at = np.unique(h[words], return_index=True)
-        new = ~np.isin(u, self.known)
+        new = self.unknown(u)
+        if len(self.known) + int(new.sum()) > KNOWN or self.used > KNOWN_IDS:
+            self.forget()
+            new[:] = True
         if new.any():
             w = words[at[new]]
             self.add(u[new], points[ranges(start[w], length[w])], np.append(0, np.cumsum(length[w])))
         unit_at, unit_n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         k = np.searchsorted(self.known, h[words])
         unit_at[words], unit_n[words] = self.at[k], self.size[k]
-        flat = self.flat
+        flat = self.flat[: self.used]
         if is_run.any():
             r = np.flatnonzero(is_run)
             size = length[r].copy()
@@ -316,7 +331,7 @@ def _encode(t: M.Tables):
         coder = Encoder(t)
         for batch in batches:
             for part in T.slices(batch, 1, CHUNK):
-                ids, counts = coder.encode(part.column(1))
+                ids, counts = coder.encode(T.repaired(part.column(1)))
                 null = part.column(1).is_null().to_numpy(zero_copy_only=False)
                 back = decode(t, ids, counts)
                 same = back.to_numpy(zero_copy_only=False) == part.column(1).cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False)

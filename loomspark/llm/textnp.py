@@ -65,6 +65,21 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def repaired(col: pa.Array) -> pa.Array:
+    """The column, with U+FFFD for bytes that are not UTF-8, which a string of Spark can hold."""
+    raw, off = buffers(col)
+    try:
+        str(raw, "utf-8")
+        # a range may be whole though its rows are not: no row begins within a character
+        if not (raw[off[:-1][off[:-1] < len(raw)]] & 0xC0 == 0x80).any():
+            return col
+    except UnicodeDecodeError:
+        pass
+    whole = raw.tobytes()
+    null = col.is_null().to_numpy(zero_copy_only=False)
+    return pa.array([None if gone else whole[a:b].decode("utf-8", "replace") for gone, a, b in zip(null, off, off[1:])], pa.large_string())
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges of about `most` bytes of text; one longer text is a range of its own."""
     n = batch.num_rows
