@@ -14,16 +14,22 @@ two sets that agree in m have a common one among the others. So passages that ma
 make no candidates.
 
 Up to t = 0.5 two sets may differ in as many grams as the smaller one has, so that agreeing chunks can't be
-promised, and sets are joined on single grams: a set of s grams shares at least a = ceil(t*s) with any partner.
-So the first s - a + m of both sets by hash hold at least m common ones, of which the m - 1 most frequent need not be joined
-on; m is 1 + a // 2, which grows no faster than a, so it holds for sets of different sizes too. All this is exact, up to 64-bit hash collisions of sets and keys and 48-bit ones of grams.
-Candidates are verified on the sets.
+promised, and the sketch is refined until every chunk has one bit: sets are joined on single grams. A set of s grams shares
+at least a = ceil(t*s) with any partner. So the first s - a + m of both sets by hash hold at least m common ones, of which
+the m - 1 most frequent need not be joined on; m is 1 + a // 2, which grows no faster than a, so it holds for
+sets of different sizes too. Grams that a hundredth of the sets have are known before the others are counted, and are left
+out first, so that no task ever gathers them. All this is exact, up to 64-bit hash collisions of sets and 48-bit ones of grams.
+
+Keys travel packed, a binary of many sets' keys for each bucket of the key space: 11 bytes a key instead of a row. The sets of a key
+become pairs in two steps: lists with the same least member meet, so that a pair is found once for a cluster's keys
+together, not once a key, by a product of the incidence matrix. Candidates are verified on the sets, those of a connected
+group together, in tiles of bounded bytes.
 
 Identical sets are joined once, as a class, so a text with thousands of copies costs no more pairs
-than any other.
+than any other; a class is never gathered anywhere.
 
-Defined cases: a null text, and a text without words, has no partner; a null doc_id takes part in no
-row; repeated rows (same doc_id and text) count as copies, and the id is then listed as often;
+Defined cases: a null text, and a text without words, has no partner and no class; a null doc_id takes part in nothing, and
+its row has nulls and 0; repeated rows (same doc_id and text) count as copies, each with a row;
 an empty table gives no rows; only the identifier and text columns are read, so other columns don't
 matter, whatever their names.
 """
@@ -34,7 +40,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +49,13 @@ from . import textnp as T
 
 #: A replaced word takes five 5-grams along: copies with 5 to 10 % of their words edited are at 0.4 to 0.65, other documents below.
 N, THRESHOLD, BAND = 5, 0.4, 1.5
-PAIRS_A_TILE = 400_000
+#: Grams that 1 of HOT_SHARE sets has, and HOT_LEAST sets at least, are left out first; at most HOT_MOST, the most frequent.
+HOT_SHARE, HOT_LEAST, HOT_MOST = 100, 1000, 200_000
+#: Keys that are packed together; sets of a key that are paired in one place; bytes of grams in a tile.
+GATHER, BLOCK, TILE_BYTES = 1_500_000, 4096, 32 << 20
+KEY_BITS, SID_BITS = 48, 40
 U = np.uint64
-OUT = "docs_a array<bigint>, docs_b array<bigint>, n_a int, n_b int, common int, jaccard double"
+KEYED = "bucket int, n int, data binary"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -77,24 +86,127 @@ def chunks_of(scheme: int, t: float) -> int:
     return math.floor(1.15 * distance_bound(band_of(t) ** (scheme + 1), t)) + 3
 
 
+# keys in packed form
+
+
+class Packing:
+    """Records of numbers of some bytes each, packed by buckets: the top bits of their first number."""
+
+    def __init__(self, tasks: int, first_bits: int, *widths: int):
+        self.tasks = tasks
+        self.bits = max(8, math.ceil(math.log2(4 * tasks)))
+        self.shift = U(first_bits - self.bits)
+        self.widths = (-(-(first_bits - self.bits) // 8), *widths)
+
+    def rows_of(self, columns: list[np.ndarray], by: np.ndarray) -> pa.RecordBatch:
+        """One row for each bucket; in a bucket, records are in the order of `by`, a byte."""
+        bucket = (columns[0] >> self.shift).astype(np.int64)
+        order = np.argsort(bucket << 8 | by, kind="stable")
+        bucket = bucket[order]
+        planes = [(columns[0] & U((1 << int(self.shift)) - 1)), *columns[1:]]
+        planes = [np.ascontiguousarray(x.astype("<u8")[order].view(np.uint8).reshape(-1, 8)[:, :w]) for x, w in zip(planes, self.widths)]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(bucket)) if len(bucket) else first
+        data = [b"".join(x[a:b].tobytes() for x in planes) for a, b in zip(first, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array((ends - first).astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "n", "data"])
+
+    def gather(self, made: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Packs (columns, by) as they come, about GATHER records at a time."""
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        count = 0
+
+        def packed() -> pa.RecordBatch:
+            return self.rows_of([np.concatenate(x) for x in zip(*(c for c, _ in held))], np.concatenate([b for _, b in held]))
+
+        for columns, by in made:
+            if not len(by):
+                continue
+            held.append((columns, by))
+            count += len(by)
+            if count >= GATHER:
+                yield packed()
+                held, count = [], 0
+        if held:
+            yield packed()
+
+    def buckets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The records of each bucket; rows come sorted by bucket."""
+        now, held = -1, []
+
+        def unpacked() -> list[np.ndarray]:
+            out = []
+            for k, w in enumerate(self.widths):
+                before = sum(self.widths[:k])
+                x = np.zeros((sum(n for n, _ in held), 8), np.uint8)
+                x[:, :w] = np.concatenate([np.frombuffer(data, np.uint8, n * w, n * before) for n, data in held]).reshape(-1, w)
+                out.append(x.view("<u8")[:, 0])
+            out[0] |= U(now) << self.shift
+            return out
+
+        for batch in batches:
+            for bucket, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if bucket != now and held:
+                    yield unpacked()
+                    held = []
+                now = bucket
+                held.append((n, data))
+        if held:
+            yield unpacked()
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Packed rows where their buckets belong, sorted by bucket."""
+        return df.repartitionById(self.tasks, F.pmod("bucket", F.lit(self.tasks))).sortWithinPartitions("bucket")
+
+
+def _level(x: np.ndarray, per: int) -> np.ndarray:
+    """A byte for numbers from 1 on, ascending with them, `per` to an octave."""
+    return np.minimum(np.floor(per * np.log2(np.maximum(x, 1)) + 1e-9), 255).astype(np.int64)
+
+
+def _sizes(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest size of a level of 12 to an octave."""
+    return np.ceil(2 ** (level / 12) - 1e-6), np.where(level == 255, np.inf, 2 ** ((level + 1) / 12) + 1e-6)
+
+
+#: How many keys a list may leave out, in six bits: rounded down.
+_SPARE = np.unique(np.concatenate([[0], np.floor(2 ** (np.arange(62) / 2.5))]).astype(np.int64))[:64]
+
+
 def _classes(n: int):
+    """(doc_id, k, sid, sid2, size) of each row; and, with size -1, (gram as sid, sets that have it as sid2) where a range of rows has it often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, 1):
                 h, _, _, row = T.words(part.column(1))
                 g, off = T.gram_sets(h, row, n)
                 a, b = _set_ids(g, off)
-                has = np.diff(off) > 0
-                ids, ks = (part.column(i).filter(pa.array(has)) for i in (0, 2))
-                yield pa.RecordBatch.from_arrays([ids, ks, _signed(a[has]), _signed(b[has]), pa.array(np.diff(off)[has].astype(np.int32))], ["doc_id", "k", "sid", "sid2", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), _signed(a), _signed(b), pa.array(np.diff(off).astype(np.int32))], ["doc_id", "k", "sid", "sid2", "size"])
+                g = np.sort(g)
+                first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(g)))
+                often = count >= max(8, part.num_rows // (2 * HOT_SHARE))
+                if often.any():
+                    none = pa.nulls(int(often.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, _signed(g[first[often]]), pa.array(count[often]), pa.array(np.full(int(often.sum()), -1, np.int32))], ["doc_id", "k", "sid", "sid2", "size"])
 
     return run
 
 
-def _keys(n: int, t: float):
+def _keys(n: int, t: float, packing: Packing, hot: np.ndarray):
+    """Packed (key, sid, size level, tag); a tag is the kind of the list that the key is in, and how many keys it may leave out."""
     ratio = band_of(t)
+    sid_shift = U(64 - SID_BITS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def columns(key: np.ndarray, sid: np.ndarray, size: np.ndarray, spare: np.ndarray, kind: np.ndarray | int) -> tuple[list[np.ndarray], np.ndarray]:
+        level = _level(size, 12)
+        tag = (np.searchsorted(_SPARE, spare, side="right") - 1) << 2 | kind
+        return [key, sid >> sid_shift, level.astype(U), tag.astype(U)], level
+
+    def grams_of(mine: np.ndarray) -> np.ndarray:
+        return (mine * U(0x9E3779B97F4A7C15)) & U((1 << KEY_BITS) - 1)  # one to one, and evenly spread
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
         for batch in batches:
             for part in T.slices(batch, 0):
                 h, _, _, row = T.words(part.column(0))
@@ -105,7 +217,21 @@ def _keys(n: int, t: float):
                     least = np.ceil(t * size - 1e-9).astype(np.int64)
                     owner = np.repeat(np.arange(len(size)), size)
                     pick = np.arange(len(g)) - off[owner] < (size - least + least // 2 + 1)[owner]
-                    yield pack(T.mix(g[pick] ^ U(0x9E3779B97F4A7C15)), sid[owner[pick]], (least // 2 * 4 + 2)[owner[pick]])
+                    g, owner = g[pick], owner[pick]
+                    spare = least // 2
+                    key = grams_of(g)
+                    if len(hot) and len(g):
+                        is_hot = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+                        at = np.flatnonzero(is_hot)
+                        at = at[np.lexsort((key[at], owner[at]))[::-1]]  # the largest keys of each set first
+                        count = np.bincount(owner[at], minlength=len(size))
+                        begin = np.append(0, np.cumsum(count[::-1]))[:-1][::-1]
+                        lost = at[np.arange(len(at)) - begin[owner[at]] < spare[owner[at]]]
+                        spare = spare - np.bincount(owner[lost], minlength=len(size))
+                        keep = np.ones(len(g), bool)
+                        keep[lost] = False
+                        key, owner = key[keep], owner[keep]
+                    yield columns(key, sid[owner], size[owner], spare[owner], 2)
                     continue
                 band = np.full(len(size), -1)
                 some = size > 0
@@ -128,117 +254,272 @@ def _keys(n: int, t: float):
                     o, c = owner[fresh], chunk[fresh]
                     bits = parity != 0
                     o, c, parity = o[bits], c[bits], parity[bits]
-                    key = T.mix(parity ^ T.mix(scheme.astype(U)[o] * U(1 << 40) + c.astype(U)))
+                    key = T.mix(parity ^ T.mix(scheme.astype(U)[o] * U(1 << 40) + c.astype(U))) >> U(64 - KEY_BITS)
                     bound = np.minimum(np.floor((1 - t) / t * lens + 1e-9), np.floor((1 - t) / (1 + t) * 2 * ratio ** (scheme + 1.0) + 1e-9)).astype(np.int64)
                     have = np.bincount(o, minlength=len(r))
-                    yield pack(key, sid[r][o], (np.maximum(have - bound - 1, 0) * 4 + up)[o])
+                    yield columns(key, sid[r][o], lens[o], np.maximum(have - bound - 1, 0)[o], up)
                     # sets with too few chunks with bits for the pigeonhole
                     poor = have <= bound
                     if poor.any():
                         pick = poor[owner]
-                        spare = np.maximum(np.ceil(t * lens - 1e-9).astype(np.int64) - 1, 0) * 4 + 2 + up
-                        yield pack(T.mix(mine[pick] ^ U(0x9E3779B97F4A7C15)), sid[r][owner[pick]], spare[owner[pick]])
+                        spare = np.maximum(np.ceil(t * lens - 1e-9).astype(np.int64) - 1, 0)
+                        yield columns(grams_of(mine[pick]), sid[r][owner[pick]], lens[owner[pick]], spare[owner[pick]], 2 + up)
 
-    def pack(key: np.ndarray, sid: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_signed(key), _signed(sid), pa.array(tag.astype(np.int32))], ["key", "sid", "tag"])
+    return lambda batches: packing.gather(made(batches))
 
-    return run
+
+def _shared(by_key: Packing, by_sid: Packing):
+    """Packed (sid, key, level of its frequency, size level, tag) of the keys that more than one set has."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        for key, sid, size, tag in by_key.buckets(batches):
+            order = np.argsort(key)
+            sorted_ = key[order]
+            edge = np.append(True, sorted_[1:] != sorted_[:-1])
+            lone = edge & np.append(edge[1:], True)
+            at = order[~lone]
+            at = at[np.lexsort((tag[at], sid[at], key[at]))]
+            key, sid, size, tag = key[at], sid[at], size[at], tag[at]
+            if not len(key):
+                continue
+            new = np.append(True, key[1:] != key[:-1])
+            fresh = new | np.append(True, sid[1:] != sid[:-1])
+            run = np.cumsum(new) - 1
+            freq = np.bincount(run, weights=fresh)[run]
+            once = (fresh | np.append(True, tag[1:] != tag[:-1])) & (freq > 1)
+            yield [sid[once], key[once], _level(freq[once], 8).astype(U), size[once], tag[once]], size[once].astype(np.int64)
+
+    return lambda batches: by_sid.gather(made(batches))
+
+
+def _rarest(by_sid: Packing, by_key: Packing):
+    """Packed (key, sid, size level) without each list's most frequent keys, as many as its tag allows."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        for sid, key, freq, size, tag in by_sid.buckets(batches):
+            at = np.lexsort((key, freq, tag, sid))[::-1]
+            sid, key, size, tag = sid[at], key[at], size[at], tag[at]
+            first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])))
+            place = np.arange(len(sid)) - np.repeat(first, np.diff(np.append(first, len(sid))))
+            keep = place >= _SPARE[(tag >> U(2)).astype(np.int64)]
+            yield [key[keep], sid[keep], size[keep]], size[keep].astype(np.int64)
+
+    return lambda batches: by_key.gather(made(batches))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, key, freq, tag) of the keys that more than one set has, freq being how many; rows come sorted by key."""
-    for key, sid, tag in rows.whole_groups(batches):
-        at = np.lexsort((tag, sid, key))
-        key, sid, tag = key[at], sid[at], tag[at]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
-        new = np.append(True, key[1:] != key[:-1])
-        run = np.cumsum(new) - 1
-        freq = np.bincount(run, weights=fresh)[run].astype(np.int32)
-        once = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])) & (freq > 1)
-        if once.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[once]) for x in (sid, key, freq, tag)], ["sid", "key", "freq", "tag"])
-
-
-def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sid) without each list's most frequent keys, as many as its tag allows; rows come sorted by sid."""
-    for sid, key, freq, tag in rows.whole_groups(batches):
-        at = np.lexsort((key, freq, tag, sid))[::-1]
-        sid, key, tag = sid[at], key[at], tag[at]
-        first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])))
-        place = np.arange(len(sid)) - np.repeat(first, np.diff(np.append(first, len(sid))))
-        keep = place >= (tag >> 2)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(sid[keep])], ["key", "sid"])
-
-
-def _run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of set ids that share a key; rows come sorted by key."""
-
-    def emit(key: np.ndarray, sid: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        length = np.diff(np.append(first, len(key)))
-        out_a, out_b = [], []
-        two = first[length == 2]
-        out_a.append(sid[two]), out_b.append(sid[two + 1])
+def _lists(by_key: Packing):
+    """(leader, a, b): sets that share a key, with the least of them; each list once a task. A long list is several, of a block or of two, with a leader of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        out: list[tuple[int, bytes, bytes | None]] = []
         held = 0
-        for f, n in zip(first[length > 2], length[length > 2]):
-            s = np.unique(sid[f : f + n])
-            for i in range(len(s) - 1):
-                out_a.append(np.full(len(s) - 1 - i, s[i])), out_b.append(s[i + 1 :])
-                held += len(s) - 1 - i
-                if held > 500_000:
-                    yield from pack(out_a, out_b)
-                    out_a, out_b, held = [], [], 0
-        yield from pack(out_a, out_b)
-
-    def pack(a: list, b: list) -> Iterator[pa.RecordBatch]:
-        a, b = np.concatenate(a), np.concatenate(b)
-        p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        if len(p):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-    for key, sid in rows.whole_groups(batches):
-        yield from emit(key, sid)
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], ["leader", "a", "b"])
+
+        for key, sid, size in by_key.buckets(batches):
+            order = np.lexsort((sid, key))
+            key, member = key[order], (sid << U(8) | size)[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (member[1:] != member[:-1]))
+            key, member = key[once], member[once]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(first, len(key)))
+            total = np.append(U(0), np.cumsum(T.mix(member)))
+            content = T.mix(total[first + length] - total[first] + length.astype(U))
+            many = np.flatnonzero(length > 1)
+            _, at = np.unique(content[many], return_index=True)
+            for f, n, c in zip(first[many[at]].tolist(), length[many[at]].tolist(), content[many[at]].tolist()):
+                if c in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(c)
+                parts = [member[f + i : min(f + i + BLOCK, f + n)].tobytes() for i in range(0, n, BLOCK)]
+                lead = int(member[f] >> U(8))
+                if len(parts) == 1:
+                    out.append((lead, parts[0], None))
+                else:
+                    out += [(-1 - (hash((lead, i, j)) >> 1 & (1 << 62) - 1), parts[i], parts[j] if j > i else None) for i in range(len(parts)) for j in range(i, len(parts))]
+                held += 8 * n * len(parts)
+                if held > 4 << 20:
+                    yield packed()
+                    out, held = [], 0
+        if out:
+            yield packed()
+
+    return run
+
+
+def _list_pairs(t: float):
+    """(a, b): pairs of the sets of one list whose sizes allow the similarity; rows come sorted by leader."""
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (low_x, high_x), (low_y, high_y) = (_sizes((z & U(255)).astype(np.int64)) for z in (x, y))
+        return (high_x >= t * low_y - 1e-6) & (high_y >= t * low_x - 1e-6)
+
+    def packed(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        ok = fits(x, y)
+        x, y = (z[ok] >> U(8) for z in (x, y))
+        pair = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    def together(lists: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that meet in one of the lists, each once."""
+        member, index = np.unique(np.concatenate(lists), return_inverse=True)
+        n = len(member)
+        for k in range(0, len(lists), most := max(1, 8_000_000 // n)):
+            part = lists[k : k + most]
+            skip = sum(map(len, lists[:k]))
+            has = np.zeros((n, len(part)), np.float32)
+            has[index[skip : skip + sum(map(len, part))], np.repeat(np.arange(len(part)), [len(x) for x in part])] = 1
+            for i in range(0, n, 1024):
+                x, y = np.nonzero(has[i : i + 1024] @ has.T)
+                x += i
+                yield member[x[x < y]], member[y[x < y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists = None, []
+        two: list[bytes] = []
+
+        def pairs_of_two() -> pa.RecordBatch:
+            flat = np.unique(np.frombuffer(b"".join(two), U).reshape(-1, 2), axis=0)
+            return packed(flat[:, 0], flat[:, 1])
+
+        for batch in batches:
+            for leader, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if len(a) == 16 and b is None:
+                    two.append(a)
+                    continue
+                if lists and leader != now:
+                    yield from (packed(*x) for x in together(lists))
+                    lists = []
+                now = leader
+                if b is None:
+                    lists.append(np.frombuffer(a, U))
+                    continue
+                x, y = np.frombuffer(a, U), np.frombuffer(b, U)
+                for i in range(0, len(x), 128):
+                    part = x[i : i + 128]
+                    yield packed(np.repeat(part, len(y)), np.tile(y, len(part)))
+            if len(two) > 200_000:
+                yield pairs_of_two()
+                two = []
+        if lists:
+            yield from (packed(*x) for x in together(lists))
+        if two:
+            yield pairs_of_two()
+
+    return run
 
 
 def _sets(n: int):
+    """The sets of texts (tile, c, text): rows (tile, kind 0, c, null, grams of 6 bytes)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, 1):
-                h, _, _, row = T.words(part.column(1))
+            for part in T.slices(batch, 2):
+                h, _, _, row = T.words(part.column(2))
                 g, off = T.gram_sets(h, row, n)
-                blobs = [g[off[i] : off[i + 1]].tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["c", "grams"])
+                raw = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                blobs = [raw[6 * a : 6 * b] for a, b in zip(off, off[1:])]
+                kind = pa.array(np.zeros(part.num_rows, np.int8))
+                yield pa.RecordBatch.from_arrays([part.column(0), kind, part.column(1), pa.nulls(part.num_rows, pa.int64()), pa.array(blobs, pa.binary())], ["tile", "kind", "ca", "cb", "grams"])
 
     return run
 
 
-def _verify(t: float):
-    def run(_key, pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        has = {s: np.frombuffer(g, U) for s, g in zip(sets["c"], sets["grams"])}
-        out = []
-        for a, b in zip(pairs["ca"].to_numpy(), pairs["cb"].to_numpy()):
-            x, y = has[a], has[b]
-            if len(x) < len(y):
-                x, y = y, x
-            if len(y) < t * len(x) - 1e-9:
+def _commons(e: np.ndarray, grams: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many grams the sets x and y of each pair have in common; e: number of the set << 48 | gram, ascending."""
+    out = np.zeros(len(x), np.int64)
+    size = np.diff(off)
+    ends = np.cumsum(size[y])
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000)))
+        n = size[y[at:to]]
+        owner = np.repeat(np.arange(to - at), n)
+        place = np.repeat(off[y[at:to]] - (np.cumsum(n) - n), n) + np.arange(len(owner))
+        probe = x[at:to].astype(U)[owner] << U(48) | grams[place]
+        there = e[np.minimum(np.searchsorted(e, probe), len(e) - 1)] == probe
+        out[at:to] = np.bincount(owner[there], minlength=to - at)
+        at = to
+    return out
+
+
+def _verified(t: float):
+    """(ca, cb, common) of the pairs that are similar. Rows come sorted by tile and kind: a tile's sets (kind 0), then its pairs (kind 1)."""
+
+    def verdicts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        tile, kind, ca = (table[x].to_numpy() for x in ("tile", "kind", "ca"))
+        is_set = kind == 0
+        cb = table["cb"].filter(pa.array(~is_set)).to_numpy().astype(np.int64)
+        blobs = table["grams"].filter(pa.array(is_set)).to_pylist()
+        _, tile = np.unique(tile, return_inverse=True)
+        pa_, ta = ca[~is_set], tile[~is_set]
+        values = np.unique(np.concatenate([ca, cb]))
+        code = lambda t_, c: t_ * len(values) + np.searchsorted(values, c)
+        have, first = np.unique(code(tile[is_set], ca[is_set]), return_index=True)
+        x, y = np.searchsorted(have, code(ta, pa_)), np.searchsorted(have, code(ta, cb))
+        blobs = [blobs[i] for i in first]
+        size = np.array([len(b) // 6 for b in blobs], np.int64)
+        swap = size[x] < size[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        common = np.zeros(len(x), np.int64)
+        for at in range(0, len(x), 30_000):  # of so few pairs the sets can be numbered in 16 bits
+            some, inverse = np.unique(np.concatenate([x[at : at + 30_000], y[at : at + 30_000]]), return_inverse=True)
+            off = np.append(0, np.cumsum(size[some]))
+            grams = np.zeros((int(off[-1]), 8), np.uint8)
+            grams[:, :6] = np.frombuffer(b"".join(blobs[i] for i in some), np.uint8).reshape(-1, 6)
+            grams = grams.view("<u8")[:, 0]
+            e = np.repeat(np.arange(len(some), dtype=U) << U(48), size[some]) | grams
+            common[at : at + 30_000] = _commons(e, grams, off, *np.split(inverse, 2))
+        ok = common >= t * (size[x] + size[y] - common) - 1e-9
+        return pa.RecordBatch.from_arrays([pa.array(pa_[ok]), pa.array(cb[ok]), pa.array(common[ok])], ["ca", "cb", "common"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        weight = 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            common = int((x[at] == y).sum())
-            if common >= t * (len(x) + len(y) - common) - 1e-9:
-                out.append((a, b, common))
-        return pd.DataFrame(out, columns=["ca", "cb", "common"]).astype("int64")
+            if weight > 8 << 20:
+                tile = batch.column(0).to_numpy()
+                last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
+                cut = int(np.argmax(tile != last)) if (tile != last).any() else batch.num_rows
+                if cut < batch.num_rows:
+                    held.append(batch.slice(0, cut))
+                    yield verdicts(held)
+                    held, weight, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            weight += batch.nbytes
+        if held:
+            yield verdicts(held)
 
     return run
 
 
-def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """One row (c, sid, docs, ks, size, first, key) for each distinct set; docs and ks list its rows' ids and keys by id."""
-    found = docs.where("text is not null and doc_id is not null").select("doc_id", F.lower("text").alias("text"), rows.row_key().alias("k"))
+def members(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """A row (doc_id, k, c, size) for every row of docs, c being the class of its set (size 0: none); the classes; and the frequent grams.
+
+    A class has (c, sid, size, copies, first, key, again): first and key are its least doc_id and that row's key, again how many rows have that key.
+    """
+    live = F.col("doc_id").isNotNull()
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.when(live, F.col("text"))).alias("text"), rows.row_key().alias("k"))
     each = found.mapInArrow(T.lean(_classes(n)), "doc_id bigint, k bigint, sid bigint, sid2 bigint, size int")
-    grouped = each.groupBy("sid", "sid2").agg(F.array_sort(F.collect_list(F.struct("doc_id", "k"))).alias("of"), F.max("size").alias("size"))
-    return grouped.select(F.xxhash64("sid", "sid2").alias("c"), "sid", F.col("of.doc_id").alias("docs"), F.col("of.k").alias("ks"), "size", F.col("of.doc_id")[0].alias("first"), F.col("of.k")[0].alias("key"))
+    each = rows.cut(each)
+    one = each.where("size > 0").groupBy("sid", "sid2", "k").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.max("size").alias("size"))
+    by_class = one.groupBy("sid", "sid2").agg(F.min(F.struct("doc_id", "k", "n")).alias("x"), F.sum("n").alias("copies"), F.max("size").alias("size"))
+    by_class = rows.cut(by_class.select(F.xxhash64("sid", "sid2").alias("c"), F.shiftrightunsigned("sid", 64 - SID_BITS).alias("sid"), "size", "copies", F.col("x.doc_id").alias("first"), F.col("x.k").alias("key"), F.col("x.n").alias("again")))
+    often = each.where("size < 0").groupBy("sid").agg(F.sum("sid2").alias("n")).where(F.col("n") >= max(HOT_LEAST, each.where("size > 0").count() // HOT_SHARE))
+    hot = np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "sid").limit(HOT_MOST).collect()], np.int64).astype(U))
+    each = each.where("size >= 0").select("doc_id", "k", F.when(F.col("size") > 0, F.xxhash64("sid", "sid2")).alias("c"), "size")
+    return each, by_class, hot
+
+
+def copies_of(each: DataFrame, by_class: DataFrame) -> DataFrame:
+    """Keys k of the rows that are not their class's first one."""
+    return each.where("size > 0").join(by_class.where("copies > 1").select("c", "key"), "c").where("k != key").select("k").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -255,54 +536,70 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def class_pairs(docs: DataFrame, by_class: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (ca, cb, common) of classes whose sets' Jaccard similarity is at least the threshold."""
-    spark = docs.sparkSession
+def candidates(docs: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int, threshold: float) -> DataFrame:
+    """Pairs (ca, cb) of classes that share a key and may be similar. docs: a row for each class."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_key, by_sid, short = Packing(tasks, KEY_BITS, 5, 1, 1), Packing(tasks, SID_BITS, 6, 1, 1, 1), Packing(tasks, KEY_BITS, 5, 1)
     low = docs.where("text is not null and doc_id is not null").select(F.lower("text").alias("text"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = low.mapInArrow(T.lean(_keys(n, threshold)), "key bigint, sid bigint, tag int").repartition(tasks, "key").sortWithinPartitions("key")
-    shared = keys.mapInArrow(T.lean(_shared), "sid bigint, key bigint, freq int, tag int").repartition(tasks, "sid").sortWithinPartitions("sid")
-    rare = shared.mapInArrow(T.lean(_rarest), "key bigint, sid bigint").repartition(tasks, "key").sortWithinPartitions("key")
-    found = rows.cut(rare.mapInArrow(T.lean(_run_pairs), "a bigint, b bigint").distinct())
-    of = by_class.select("c", "sid", "size")
+    keys = by_key.spread(low.mapInArrow(T.lean(_keys(n, threshold, by_key, hot)), KEYED))
+    shared = by_sid.spread(keys.mapInArrow(T.lean(_shared(by_key, by_sid)), KEYED))
+    rare = short.spread(shared.mapInArrow(T.lean(_rarest(by_sid, short)), KEYED))
+    lists = rare.mapInArrow(T.lean(_lists(short)), "leader bigint, a binary, b binary").repartition(tasks, "leader").sortWithinPartitions("leader")
+    found = rows.cut(lists.mapInArrow(T.lean(_list_pairs(threshold)), "a bigint, b bigint").distinct())
+    of = rows.small(by_class.select("sid", "c", "size"))
     a, b = (of.select(F.col("sid").alias(s), F.col("c").alias(f"c{s}"), F.col("size").alias(f"s{s}")) for s in "ab")
-    cand = found.join(a, "a").join(b, "b").where(F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9).select("ca", "cb")
-    cand = rows.cut(cand)
-    ends = cand.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
-    # sets are computed again for one text of each candidate class only
-    reps = by_class.join(ends, "c", "left_semi").select("c", "key")
-    texts = docs.where("text is not null").select(rows.row_key().alias("key"), F.lower("text").alias("text"))
-    mine = texts.join(rows.small(reps), "key").select("c", "text").mapInArrow(T.lean(_sets(n)), "c bigint, grams binary").dropDuplicates(["c"])
-    # a connected group of candidates is one tile, to which each of its sets is sent once; a group of many pairs is several
-    label = components(cand).select(F.col("c").alias("ca"), "l")
-    tiled = cand.join(label, "ca")
-    count = tiled.groupBy("l").agg(F.ceil(F.sqrt(F.count("*") / PAIRS_A_TILE)).alias("parts"))
-    pa_, pb_ = F.pmod("ca", "parts"), F.pmod("cb", "parts")
-    tiled = tiled.join(count, "l").select("ca", "cb", F.xxhash64("l", F.least(pa_, pb_), F.greatest(pa_, pb_)).alias("tile"))
-    tiled = rows.cut(tiled)
-    sent = tiled.select(F.col("tile").alias("to"), F.explode(F.array("ca", "cb")).alias("c")).distinct().join(mine, "c")
-    return tiled.groupBy("tile").cogroup(sent.groupBy("to")).applyInPandas(_verify(threshold), "ca bigint, cb bigint, common bigint")
-
+    close = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9
+    return rows.cut(found.join(a, "a").join(b, "b").where(close).select("ca", "cb", "sa", "sb"))
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents (doc_id, text) with n-gram Jaccard similarity of at least the threshold.
 
-    A row (docs_a, docs_b, n_a, n_b, common, jaccard) stands for every pair of an id of docs_a and a
-    different one of docs_b: for two different sets, or, with docs_a = docs_b and jaccard 1, the copies of one set.
+def class_pairs(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (ca, cb, common) of classes whose sets' Jaccard similarity is at least the threshold."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = rows.without(docs.select("doc_id", "text"), copies_of(each, by_class))
+    cand = candidates(single, by_class, hot, n, threshold)
+    # a connected group of candidates is one tile, to which each of its sets is sent once; a group of many grams is several
+    label = components(cand)
+    ends = cand.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("sa").alias("s")), F.struct(F.col("cb").alias("c"), F.col("sb").alias("s")))).alias("x")).select("x.*").distinct()
+    weight = ends.join(label, "c").groupBy("l").agg(F.greatest(F.ceil(F.sum(6 * F.col("s").cast("bigint")) / TILE_BYTES), F.ceil(F.count("*") / 20_000)).alias("parts"))
+    pa_, pb_ = F.pmod("ca", "parts"), F.pmod("cb", "parts")
+    tiled = cand.join(label.withColumnRenamed("c", "ca"), "ca").join(weight, "l")
+    tiled = rows.cut(tiled.select("ca", "cb", F.xxhash64("l", F.least(pa_, pb_), F.greatest(pa_, pb_)).alias("tile")))
+    sent = tiled.select("tile", F.explode(F.array("ca", "cb")).alias("c")).distinct().join(by_class.select("c", "key"), "c")
+    texts = single.where("text is not null").select(rows.row_key().alias("key"), F.lower("text").alias("text"))
+    # sets are computed again for the candidates only
+    sets = texts.join(rows.small(rows.cut(sent)), "key").select("tile", "c", "text").mapInArrow(T.lean(_sets(n)), "tile bigint, kind tinyint, ca bigint, cb bigint, grams binary")
+    if not by_class.where("again > 1").isEmpty():
+        sets = sets.dropDuplicates(["tile", "ca"])
+    pairs = tiled.select("tile", F.lit(1).cast("tinyint").alias("kind"), "ca", "cb", F.lit(None).cast("binary").alias("grams"))
+    gathered = sets.union(pairs).repartition(tasks, "tile").sortWithinPartitions("tile", "kind")
+    return gathered.mapInArrow(T.lean(_verified(threshold)), "ca bigint, cb bigint, common bigint")
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of different sets with Jaccard similarity of at least the threshold: rows (doc_a, doc_b, n_a, n_b, common, jaccard), each set by its least doc_id."""
+    each, by_class, hot = members(docs, n)
+    pairs = class_pairs(docs, each, by_class, hot, n, threshold)
+    a, b = (by_class.select(F.col("c").alias(f"c{s}"), F.struct(F.col("first").alias("doc"), F.col("size").alias("n")).alias(s)) for s in "ab")
+    both = pairs.join(a, "ca").join(b, "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
+    jaccard = F.col("common") / (F.col("a.n") + F.col("b.n") - F.col("common"))
+    return both.select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("common").cast("int").alias("common"), jaccard.alias("jaccard"))
+
+
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """A row (doc_id, class_id, n_copies, n_links) for every row of docs.
+
+    class_id: the least doc_id of those connected with it by pairs of at least the threshold; n_copies: rows with the same set, itself
+    included; n_links: the other sets that it is similar to. A row without words has no class, and 0.
     """
-    by_class = rows.cut(classes(docs, n))
-    pairs = class_pairs(docs, by_class, n, threshold)
-    a, b = (by_class.select(F.col("c").alias(f"c{s}"), F.col("docs").alias(f"docs_{s}"), F.col("size").alias(f"n_{s}")) for s in "ab")
-    far = pairs.join(a, "ca").join(b, "cb")
-    turn = F.col("docs_a")[0] < F.col("docs_b")[0]
-    turn = turn | ((F.col("docs_a")[0] == F.col("docs_b")[0]) & (F.col("n_a") < F.col("n_b")))
-    pick = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
-    far = far.select(
-        pick("docs_a", "docs_b").alias("docs_a"), pick("docs_b", "docs_a").alias("docs_b"), pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"),
-        F.col("common").cast("int").alias("common"), (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"),
-    )
-    same = by_class.where(F.size("docs") > 1).select("docs", F.col("docs").alias("docs_b"), "size", F.col("size").alias("n_b"), F.col("size").alias("common"), F.lit(1.0).alias("jaccard"))
-    return far.union(same.toDF(*far.columns))
+    each, by_class, hot = members(docs, n)
+    pairs = rows.cut(class_pairs(docs, each, by_class, hot, n, threshold).select("ca", "cb"))
+    label = components(pairs)
+    least = label.join(by_class.select("c", "first"), "c").groupBy("l").agg(F.min("first").alias("class_id"))
+    count = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    near = label.join(least, "l").join(count, "c").select("c", "class_id", "n_links")
+    classes = by_class.select("c", "first", "copies").join(near, "c", "left").select("c", F.coalesce("class_id", "first").alias("class_id"), F.col("copies").alias("n_copies"), "n_links")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x)
+    return each.join(classes, "c", "left").select("doc_id", "class_id", zero("n_copies"), zero("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -311,17 +608,14 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     A group is a connected component of the join's pairs. A row with a null doc_id or text, or with a
     text without words, stays. Of rows with one doc_id and equal sets one stays.
     """
-    by_class = rows.cut(classes(docs, n))
-    pairs = rows.cut(class_pairs(docs, by_class, n, threshold).select("ca", "cb"))
+    each, by_class, hot = members(docs, n)
+    pairs = rows.cut(class_pairs(docs, each, by_class, hot, n, threshold).select("ca", "cb"))
     ranked = components(pairs).join(by_class.select("c", F.struct("first", "c").alias("me")), "c")
     least = ranked.groupBy("l").agg(F.min("me").alias("least"))
-    label = ranked.join(least, "l")
-    lost = label.where("least.c != c").select("c").distinct()
-    gone = by_class.join(lost, "c", "left_semi").select(F.explode("ks").alias("k"))
-    stay = by_class.where(F.size("ks") > 1).join(lost, "c", "left_anti")
-    copies = stay.select(F.explode(F.filter("ks", lambda k: k != F.col("ks")[0])).alias("k"))
-    kept = rows.without(docs, rows.cut(gone.union(copies).distinct()))
-    again = stay.where(F.size(F.filter("ks", lambda k: k == F.col("ks")[0])) > 1).select(F.col("ks")[0].alias("__ls_k"))
+    lost = rows.cut(ranked.join(least, "l").where("least.c != c").select("c"))
+    gone = each.join(lost, "c", "left_semi").select("k")
+    kept = rows.without(docs, rows.cut(gone.union(copies_of(each, by_class)).distinct()))
+    again = by_class.where("again > 1").join(lost, "c", "left_anti").select(F.col("key").alias("__ls_k"))
     if again.isEmpty():
         return kept
     again = rows.small(again)

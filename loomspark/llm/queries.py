@@ -19,7 +19,7 @@ def op1_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,11 +24,15 @@ pairs AS (
 """
 
 NGRAM_JOIN = f"""
-WITH {NGRAM_SETS}
-SELECT a.docs AS docs_a, b.docs AS docs_b, a.n AS n_a, b.n AS n_b, common, common / (a.n + b.n - common) AS jaccard
-FROM pairs JOIN classes a ON a.c = ca JOIN classes b ON b.c = cb
+WITH RECURSIVE {NGRAM_SETS},
+edges AS (SELECT ca AS x, cb AS y FROM pairs UNION ALL SELECT cb, ca FROM pairs),
+reach AS (SELECT DISTINCT x, x AS y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x),
+least AS (SELECT x AS c, min(docs[1]) AS class_id FROM reach JOIN classes ON classes.c = y GROUP BY x),
+links AS (SELECT x AS c, count(*) AS n_links FROM edges GROUP BY x),
+found AS (SELECT unnest(docs) AS doc_id, len(docs) AS n_copies, coalesce(class_id, docs[1]) AS class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN least USING (c) LEFT JOIN links USING (c))
+SELECT doc_id, class_id, n_copies::BIGINT AS n_copies, n_links::BIGINT AS n_links FROM found
 UNION ALL
-SELECT docs, docs, n, n, n, 1.0 FROM classes WHERE len(docs) > 1
+SELECT doc_id, NULL, 0, 0 FROM (SELECT doc_id, {WORDS} AS ws FROM documents) WHERE doc_id IS NULL OR ws IS NULL OR len(ws) = 0
 """
 
 #: Stays are the least-cost optimum, min(size, capacity); what is moved is dealt out in shard order.

@@ -26,7 +26,7 @@ def edited():
 
 def test_edited_copies_are_joined_and_dropped(spark, edited):
     docs = docs_of(spark, edited)
-    got = {(r["docs_a"][0], r["docs_b"][0]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    got = {(r["doc_a"], r["doc_b"]) for r in ngram_join.linked(docs).collect()}
     assert got == {tuple(sorted((a[0], b[0]))) for a, b, _ in brute_pairs(edited, ngram_join.THRESHOLD)[0]}
     assert got <= {(k, 100 + k) for k in range(40)} and len(got) >= 36
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
@@ -40,7 +40,6 @@ def test_sets_of_different_sizes_meet(spark, t):
     for k in range(60):
         w = prose(rng, rng.randint(8, 120)).split()
         rows += [(3 * k, " ".join(w), "s"), (3 * k + 1, " ".join(w[: int(len(w) * rng.uniform(t, 1)) + 1]), "s"), (3 * k + 2, " ".join(w[: int(len(w) * t) + 3]), "s")]
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, rows), threshold=t).collect()
-    far = {tuple(sorted([tuple(r["docs_a"]), tuple(r["docs_b"])])) + (r["common"],) for r in got if r["docs_a"] != r["docs_b"]}
+    got = ngram_join.linked(docs_of(spark, rows), threshold=t).collect()
     want, _ = brute_pairs(rows, t)
-    assert want and far == {tuple(sorted(x[:2])) + (x[2],) for x in want}
+    assert want and sorted((r["doc_a"], r["doc_b"], r["common"]) for r in got) == sorted((*sorted((a[0], b[0])), n) for a, b, n in want)

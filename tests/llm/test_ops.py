@@ -142,20 +142,55 @@ def brute_pairs(rows, t=0.8):
     return out, {tuple(sorted(v)) for v in sets.values() if len(v) > 1}
 
 
-@pytest.mark.parametrize("t", [0.8, 0.5])
-def test_ngram_join_equals_brute_force(spark, corpus, t):
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, corpus), threshold=t).collect()
-    far = {tuple(sorted([tuple(r["docs_a"]), tuple(r["docs_b"])])) + (r["common"],) for r in got if r["docs_a"] != r["docs_b"]}
-    same = {tuple(r["docs_a"]) for r in got if r["docs_a"] == r["docs_b"]}
-    want, copies = brute_pairs(corpus, t)
-    assert far == {tuple(sorted(x[:2])) + (x[2],) for x in want} and same == copies
-    assert ngram_join.ngram_jaccard_join(empty(spark)).count() == 0
+def brute_rows(rows, t):
+    """The rows of the query, by definition."""
+    pairs, copies = brute_pairs(rows, t)
+    of, links = {}, {}
+    for i, text, _ in rows:
+        if i is not None and text is not None and (g := gram_set(text)):
+            of.setdefault(g, []).append(i)
+    group = {tuple(sorted(v)): {tuple(sorted(v))} for v in of.values()}
+    for a, b, _ in pairs:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+        both = group[a] | group[b]
+        for x in both:
+            group[x] = both
+    out = [(i, min(min(x) for x in group[v]), len(v), links.get(v, 0)) for v in group for i in v]
+    return sorted(map(str, out + [(i, None, 0, 0) for i, text, _ in rows if i is None or text is None or not gram_set(text)]))
+
+
+@pytest.mark.parametrize("t, hot", [(0.8, 1000), (0.5, 1000), (0.4, 2)])
+def test_ngram_join_equals_brute_force(spark, corpus, monkeypatch, t, hot):
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    docs = docs_of(spark, corpus)
+    got = ngram_join.linked(docs, threshold=t).collect()
+    want, _ = brute_pairs(corpus, t)
+    assert sorted((r["doc_a"], r["doc_b"], r["common"]) for r in got) == sorted((*sorted((a[0], b[0])), n) for a, b, n in want)
+    assert sorted(str(tuple(r)) for r in ngram_join.near_duplicates(docs, threshold=t).collect()) == brute_rows(corpus, t)
+    assert ngram_join.near_duplicates(empty(spark)).count() == 0 and ngram_join.linked(empty(spark)).count() == 0
+
+
+def test_frequent_grams_and_tiles_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    lines = [prose(rng, 40) for _ in range(4)]
+    rows = [(k, f"{lines[k % 4]} {prose(rng, rng.randint(1, 60))}", "s") for k in range(400)]
+    rows += [(400 + k, rows[k][1] + " " + prose(rng, rng.randint(0, 5)), "s") for k in range(0, 400, 5)]
+    rows += [(1000, rows[7][1], "s")] * 30
+    want, _ = brute_pairs(rows, 0.4)
+    for name, value in (("HOT_LEAST", 50), ("TILE_BYTES", 2000), ("GATHER", 5000), ("BLOCK", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    docs = docs_of(spark, rows)
+    assert len(ngram_join.members(docs)[2]) > 30
+    got = ngram_join.linked(docs, threshold=0.4).collect()
+    assert sorted((r["doc_a"], r["doc_b"], r["common"]) for r in got) == sorted((*sorted((a[0], b[0])), n) for a, b, n in want)
+    assert sorted(str(tuple(r)) for r in ngram_join.near_duplicates(docs, threshold=0.4).collect()) == brute_rows(rows, 0.4)
 
 
 def test_keep_one_keeps_the_first_of_each_group(spark, corpus):
     kept = ngram_join.keep_one(docs_of(spark, corpus))
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    want, copies = brute_pairs(corpus)
+    want, copies = brute_pairs(corpus, ngram_join.THRESHOLD)
     groups = [set(itertools.chain(*x[:2])) for x in want] + [set(c) for c in copies]
     merged = []
     for g in groups:
@@ -173,8 +208,8 @@ def test_one_identifier_with_different_texts(spark):
     rng = random.Random(2)
     a, b = prose(rng, 60), prose(rng, 60)
     rows = [(1, a, "s"), (1, b, "s"), (2, a + " end", "s"), (3, b + " end", "s")]
-    got = ngram_join.ngram_jaccard_join(docs_of(spark, rows)).collect()
-    assert sorted((r["docs_a"][0], r["docs_b"][0]) for r in got) == [(1, 2), (1, 3)]
+    got = ngram_join.linked(docs_of(spark, rows)).collect()
+    assert sorted((r["doc_a"], r["doc_b"]) for r in got) == [(1, 2), (1, 3)]
     assert sorted(r["text"] for r in ngram_join.keep_one(docs_of(spark, rows)).collect()) == sorted([a, b])
 
 
