@@ -21,9 +21,10 @@ sets of different sizes too. Grams that a hundredth of the sets have are known b
 out first, so that no task ever gathers them. All this is exact, up to 64-bit hash collisions of sets and 48-bit ones of grams.
 
 Keys travel packed, a binary of many sets' keys for each bucket of the key space: 11 bytes a key instead of a row. The sets of a key
-become pairs in two steps: lists with the same least member meet, so that a pair is found once for a cluster's keys
-together, not once a key, by a product of the incidence matrix. Candidates are verified on the sets, those of a connected
-group together, in tiles of bounded bytes.
+are a list; sets that lists connect are a tile, to which their grams and lists go once. The tile pairs its
+sets by a product of the lists' incidence matrix, so a pair is found once however many keys it shares, and verifies the pairs on the grams.
+Neither candidates nor pairs are ever shuffled: a tile gives each set's number of links and a spanning forest of
+them. A tile of much work is split into blocks of sets that meet two at a time.
 
 Identical sets are joined once, as a class, so a text with thousands of copies costs no more pairs
 than any other; a class is never gathered anywhere.
@@ -51,8 +52,8 @@ from . import textnp as T
 N, THRESHOLD, BAND = 5, 0.4, 1.5
 #: Grams that 1 of HOT_SHARE sets has, and HOT_LEAST sets at least, are left out first; at most HOT_MOST, the most frequent.
 HOT_SHARE, HOT_LEAST, HOT_MOST = 100, 1000, 200_000
-#: Keys that are packed together; sets of a key that are paired in one place; bytes of grams in a tile.
-GATHER, BLOCK, TILE_BYTES = 1_500_000, 4096, 32 << 20
+#: Keys that are packed together; a tile's most bytes of grams, sets, and grams times sets, about.
+GATHER, TILE_BYTES, TILE_SETS, TILE_WORK = 1_500_000, 32 << 20, 20_000, 300_000_000
 KEY_BITS, SID_BITS = 48, 40
 U = np.uint64
 KEYED = "bucket int, n int, data binary"
@@ -163,11 +164,6 @@ def _level(x: np.ndarray, per: int) -> np.ndarray:
     return np.minimum(np.floor(per * np.log2(np.maximum(x, 1)) + 1e-9), 255).astype(np.int64)
 
 
-def _sizes(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest size of a level of 12 to an octave."""
-    return np.ceil(2 ** (level / 12) - 1e-6), np.where(level == 255, np.inf, 2 ** ((level + 1) / 12) + 1e-6)
-
-
 #: How many keys a list may leave out, in six bits: rounded down.
 _SPARE = np.unique(np.concatenate([[0], np.floor(2 ** (np.arange(62) / 2.5))]).astype(np.int64))[:64]
 
@@ -194,14 +190,14 @@ def _classes(n: int):
 
 
 def _keys(n: int, t: float, packing: Packing, hot: np.ndarray):
-    """Packed (key, sid, size level, tag); a tag is the kind of the list that the key is in, and how many keys it may leave out."""
+    """Packed (key, sid, tag), ordered by size; a tag is the kind of the list that the key is in, and how many keys it may leave out."""
     ratio = band_of(t)
     sid_shift = U(64 - SID_BITS)
 
     def columns(key: np.ndarray, sid: np.ndarray, size: np.ndarray, spare: np.ndarray, kind: np.ndarray | int) -> tuple[list[np.ndarray], np.ndarray]:
-        level = _level(size, 12)
+        level = _level(size, 12)  # lists of like sizes have like tags, which then compress
         tag = (np.searchsorted(_SPARE, spare, side="right") - 1) << 2 | kind
-        return [key, sid >> sid_shift, level.astype(U), tag.astype(U)], level
+        return [key, sid >> sid_shift, tag.astype(U)], level
 
     def grams_of(mine: np.ndarray) -> np.ndarray:
         return (mine * U(0x9E3779B97F4A7C15)) & U((1 << KEY_BITS) - 1)  # one to one, and evenly spread
@@ -269,17 +265,17 @@ def _keys(n: int, t: float, packing: Packing, hot: np.ndarray):
 
 
 def _shared(by_key: Packing, by_sid: Packing):
-    """Packed (sid, key, level of its frequency, size level, tag) of the keys that more than one set has."""
+    """Packed (sid, key, level of its frequency, tag) of the keys that more than one set has."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        for key, sid, size, tag in by_key.buckets(batches):
+        for key, sid, tag in by_key.buckets(batches):
             order = np.argsort(key)
             sorted_ = key[order]
             edge = np.append(True, sorted_[1:] != sorted_[:-1])
             lone = edge & np.append(edge[1:], True)
             at = order[~lone]
             at = at[np.lexsort((tag[at], sid[at], key[at]))]
-            key, sid, size, tag = key[at], sid[at], size[at], tag[at]
+            key, sid, tag = key[at], sid[at], tag[at]
             if not len(key):
                 continue
             new = np.append(True, key[1:] != key[:-1])
@@ -287,60 +283,55 @@ def _shared(by_key: Packing, by_sid: Packing):
             run = np.cumsum(new) - 1
             freq = np.bincount(run, weights=fresh)[run]
             once = (fresh | np.append(True, tag[1:] != tag[:-1])) & (freq > 1)
-            yield [sid[once], key[once], _level(freq[once], 8).astype(U), size[once], tag[once]], size[once].astype(np.int64)
+            yield [sid[once], key[once], _level(freq[once], 8).astype(U), tag[once]], tag[once].astype(np.int64)
 
     return lambda batches: by_sid.gather(made(batches))
 
 
 def _rarest(by_sid: Packing, by_key: Packing):
-    """Packed (key, sid, size level) without each list's most frequent keys, as many as its tag allows."""
+    """Packed (key, sid) without each list's most frequent keys, as many as its tag allows."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        for sid, key, freq, size, tag in by_sid.buckets(batches):
+        for sid, key, freq, tag in by_sid.buckets(batches):
             at = np.lexsort((key, freq, tag, sid))[::-1]
-            sid, key, size, tag = sid[at], key[at], size[at], tag[at]
+            sid, key, tag = sid[at], key[at], tag[at]
             first = np.flatnonzero(np.append(True, (sid[1:] != sid[:-1]) | (tag[1:] != tag[:-1])))
             place = np.arange(len(sid)) - np.repeat(first, np.diff(np.append(first, len(sid))))
             keep = place >= _SPARE[(tag >> U(2)).astype(np.int64)]
-            yield [key[keep], sid[keep], size[keep]], size[keep].astype(np.int64)
+            yield [key[keep], sid[keep]], np.zeros(int(keep.sum()), np.int64)
 
     return lambda batches: by_key.gather(made(batches))
 
 
 def _lists(by_key: Packing):
-    """(leader, a, b): sets that share a key, with the least of them; each list once a task. A long list is several, of a block or of two, with a leader of their own."""
+    """(leader, members): the sets that share a key (8 bytes each), and the least of them; each list once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        out: list[tuple[int, bytes, bytes | None]] = []
+        out: list[tuple[int, bytes]] = []
         held = 0
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.binary()), pa.array([x for _, _, x in out], pa.binary())], ["leader", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["leader", "members"])
 
-        for key, sid, size in by_key.buckets(batches):
+        for key, sid in by_key.buckets(batches):
             order = np.lexsort((sid, key))
-            key, member = key[order], (sid << U(8) | size)[order]
-            once = np.append(True, (key[1:] != key[:-1]) | (member[1:] != member[:-1]))
-            key, member = key[once], member[once]
+            key, sid = key[order], sid[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+            key, sid = key[once], sid[once]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             length = np.diff(np.append(first, len(key)))
-            total = np.append(U(0), np.cumsum(T.mix(member)))
+            total = np.append(U(0), np.cumsum(T.mix(sid + U(1))))
             content = T.mix(total[first + length] - total[first] + length.astype(U))
             many = np.flatnonzero(length > 1)
             _, at = np.unique(content[many], return_index=True)
             for f, n, c in zip(first[many[at]].tolist(), length[many[at]].tolist(), content[many[at]].tolist()):
                 if c in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 1_000_000:  # for less to send; a list that comes again does no harm
                     seen.add(c)
-                parts = [member[f + i : min(f + i + BLOCK, f + n)].tobytes() for i in range(0, n, BLOCK)]
-                lead = int(member[f] >> U(8))
-                if len(parts) == 1:
-                    out.append((lead, parts[0], None))
-                else:
-                    out += [(-1 - (hash((lead, i, j)) >> 1 & (1 << 62) - 1), parts[i], parts[j] if j > i else None) for i in range(len(parts)) for j in range(i, len(parts))]
-                held += 8 * n * len(parts)
+                out.append((int(sid[f]), sid[f : f + n].tobytes()))
+                held += 8 * n
                 if held > 4 << 20:
                     yield packed()
                     out, held = [], 0
@@ -350,80 +341,84 @@ def _lists(by_key: Packing):
     return run
 
 
-def _list_pairs(t: float):
-    """(a, b): pairs of the sets of one list whose sizes allow the similarity; rows come sorted by leader."""
-
-    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        (low_x, high_x), (low_y, high_y) = (_sizes((z & U(255)).astype(np.int64)) for z in (x, y))
-        return (high_x >= t * low_y - 1e-6) & (high_y >= t * low_x - 1e-6)
-
-    def packed(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        ok = fits(x, y)
-        x, y = (z[ok] >> U(8) for z in (x, y))
-        pair = np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    def together(lists: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs that meet in one of the lists, each once."""
-        member, index = np.unique(np.concatenate(lists), return_inverse=True)
-        n = len(member)
-        for k in range(0, len(lists), most := max(1, 8_000_000 // n)):
-            part = lists[k : k + most]
-            skip = sum(map(len, lists[:k]))
-            has = np.zeros((n, len(part)), np.float32)
-            has[index[skip : skip + sum(map(len, part))], np.repeat(np.arange(len(part)), [len(x) for x in part])] = 1
-            for i in range(0, n, 1024):
-                x, y = np.nonzero(has[i : i + 1024] @ has.T)
-                x += i
-                yield member[x[x < y]], member[y[x < y]]
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ca, cb): the first member of each list with every other one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = batch.column(1).cast(pa.large_binary())
+        raw, off = T.buffers(size)
+        flat, n = np.frombuffer(raw.tobytes(), np.int64), np.diff(off) // 8
+        lead = np.repeat(batch.column(0).to_numpy(), n)
+        edge = np.unique(np.stack([lead, flat], 1)[lead != flat], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["ca", "cb"])
+
+
+def _tile(l: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return T.mix(l.astype(np.int64).view(U) ^ T.mix(np.minimum(i, j).astype(U) * U(1 << 32) + np.maximum(i, j).astype(U))).view(np.int64)
+
+
+def _block(sid: np.ndarray, parts: int) -> np.ndarray:
+    return (T.mix(sid.astype(np.int64).view(U)) % U(parts)).astype(np.int64)
+
+
+TILED = "tile bigint, kind tinyint, a bigint, b bigint, data binary"
+
+
+def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (l, parts, members) as rows (tile, kind 1, block, block << 32 | parts, members): to every tile that pairs two of their blocks."""
+    for batch in batches:
+        out: list[tuple[int, int, int, bytes]] = []
+        one = batch.column(1).to_numpy() == 1
+        l = batch.column(0).to_numpy()
+        simple = batch.filter(pa.array(one))
+        zero = np.zeros(int(one.sum()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(_tile(l[one], zero, zero)), pa.array(zero.astype(np.int8) + 1, pa.int8()), pa.array(zero), pa.array(zero), simple.column(2)], ["tile", "kind", "a", "b", "data"])
+        for k in np.flatnonzero(~one):
+            sid, parts = np.frombuffer(batch.column(2)[k].as_py(), np.int64), batch.column(1)[k].as_py()
+            block = _block(sid, parts)
+            have = np.unique(block)
+            for x in have:
+                for y in have[have >= x]:
+                    mine = sid[(block == x) | (block == y)]
+                    if len(mine) > 1:
+                        out.append((int(_tile(l[k : k + 1], np.array([x]), np.array([y]))[0]), int(x), int(y) << 32 | parts, mine.tobytes()))
+                if sum(len(m) for *_, m in out) > 4 << 20:
+                    yield _rows_of(out)
+                    out = []
+        if out:
+            yield _rows_of(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lists = None, []
-        two: list[bytes] = []
 
-        def pairs_of_two() -> pa.RecordBatch:
-            flat = np.unique(np.frombuffer(b"".join(two), U).reshape(-1, 2), axis=0)
-            return packed(flat[:, 0], flat[:, 1])
+def _rows_of(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    tile, x, y, members = zip(*out)
+    return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array([1] * len(out), pa.int8()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(members, pa.binary())], ["tile", "kind", "a", "b", "data"])
 
-        for batch in batches:
-            for leader, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if len(a) == 16 and b is None:
-                    two.append(a)
-                    continue
-                if lists and leader != now:
-                    yield from (packed(*x) for x in together(lists))
-                    lists = []
-                now = leader
-                if b is None:
-                    lists.append(np.frombuffer(a, U))
-                    continue
-                x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-                for i in range(0, len(x), 128):
-                    part = x[i : i + 128]
-                    yield packed(np.repeat(part, len(y)), np.tile(y, len(part)))
-            if len(two) > 200_000:
-                yield pairs_of_two()
-                two = []
-        if lists:
-            yield from (packed(*x) for x in together(lists))
-        if two:
-            yield pairs_of_two()
 
-    return run
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (l, parts, sid) as rows (tile, sid): to every tile that has their block."""
+    for batch in batches:
+        l, parts, sid = (batch.column(i).to_numpy() for i in range(3))
+        of = np.repeat(np.arange(len(l)), parts)
+        other = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        own = np.concatenate([_block(sid[k : k + 1], int(parts[k])) for k in np.flatnonzero(parts > 1)]) if (parts > 1).any() else np.zeros(0, np.int64)
+        block = np.zeros(len(l), np.int64)
+        block[parts > 1] = own
+        yield pa.RecordBatch.from_arrays([pa.array(_tile(l[of], block[of], other)), pa.array(sid[of])], ["tile", "sid"])
 
 
 def _sets(n: int):
-    """The sets of texts (tile, c, text): rows (tile, kind 0, c, null, grams of 6 bytes)."""
+    """The sets of texts (tile, c, sid, text): rows (tile, kind 0, c, sid, grams of 6 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.slices(batch, 2):
-                h, _, _, row = T.words(part.column(2))
+            for part in T.slices(batch, 3):
+                h, _, _, row = T.words(part.column(3))
                 g, off = T.gram_sets(h, row, n)
                 raw = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 blobs = [raw[6 * a : 6 * b] for a, b in zip(off, off[1:])]
                 kind = pa.array(np.zeros(part.num_rows, np.int8))
-                yield pa.RecordBatch.from_arrays([part.column(0), kind, part.column(1), pa.nulls(part.num_rows, pa.int64()), pa.array(blobs, pa.binary())], ["tile", "kind", "ca", "cb", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), kind, part.column(1), part.column(2), pa.array(blobs, pa.binary())], ["tile", "kind", "a", "b", "data"])
 
     return run
 
@@ -446,36 +441,154 @@ def _commons(e: np.ndarray, grams: np.ndarray, off: np.ndarray, x: np.ndarray, y
     return out
 
 
-def _verified(t: float):
-    """(ca, cb, common) of the pairs that are similar. Rows come sorted by tile and kind: a tile's sets (kind 0), then its pairs (kind 1)."""
+def _meeting(lists: list[np.ndarray], n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs x < y of numbers below n that are in one of the lists together, each once; ascending rows a time."""
+    lists = [x for x in lists if len(x) > 1]
+    if not lists:
+        return
+    member, index = np.unique(np.concatenate(lists), return_inverse=True)
+    m = len(member)
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    width = max(1, 4_000_000 // m)
+    step = max(1, 4_000_000 // m)
+    for i in range(0, m, step):
+        near = np.zeros((min(step, m - i), m), bool)
+        for k in range(0, len(lists), width):
+            here = (row >= k) & (row < k + width)
+            has = np.zeros((m, min(width, len(lists) - k)), np.float32)
+            has[index[here], row[here] - k] = 1
+            near |= (has[i : i + step] @ has.T) > 0
+        x, y = np.nonzero(near)
+        x += i
+        yield member[x[x < y]], member[y[x < y]]
+
+
+def _products(grams: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """_commons for many pairs of few sets, by products of the incidence matrix of the grams that more than one set has."""
+    n = len(off) - 1
+    owner = np.repeat(np.arange(n), np.diff(off))
+    order = np.argsort(grams, kind="stable")
+    g, owner = grams[order], owner[order]
+    new = np.append(True, g[1:] != g[:-1])
+    number = np.cumsum(new) - 1
+    many = np.bincount(number)[number] > 1
+    number, owner = np.cumsum(new[many]) - 1, owner[many]
+    out = np.zeros((n, n), np.float32)
+    for k in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        a, b = np.searchsorted(number, [k, k + 2048])
+        has = np.zeros((n, min(2048, int(number[-1]) + 1 - k)), np.float32)
+        has[owner[a:b], number[a:b] - k] = 1
+        out += has @ has.T
+    return out[x, y].astype(np.int64)
+
+
+def _verified(t: float, every: bool):
+    """The similar pairs of each tile: (c, null, its links) and the pairs (ca, cb, null) of a spanning forest; or, if every, all (ca, cb, common).
+
+    Rows come sorted by tile and kind: a tile's sets (kind 0: c, sid, grams), then its lists (kind 1: two blocks and their number, sids).
+    """
 
-    def verdicts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        tile, kind, ca = (table[x].to_numpy() for x in ("tile", "kind", "ca"))
-        is_set = kind == 0
-        cb = table["cb"].filter(pa.array(~is_set)).to_numpy().astype(np.int64)
-        blobs = table["grams"].filter(pa.array(is_set)).to_pylist()
-        _, tile = np.unique(tile, return_inverse=True)
-        pa_, ta = ca[~is_set], tile[~is_set]
-        values = np.unique(np.concatenate([ca, cb]))
-        code = lambda t_, c: t_ * len(values) + np.searchsorted(values, c)
-        have, first = np.unique(code(tile[is_set], ca[is_set]), return_index=True)
-        x, y = np.searchsorted(have, code(ta, pa_)), np.searchsorted(have, code(ta, cb))
-        blobs = [blobs[i] for i in first]
-        size = np.array([len(b) // 6 for b in blobs], np.int64)
-        swap = size[x] < size[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
+    def verdict(x: np.ndarray, y: np.ndarray, blobs: list[bytes], size: np.ndarray) -> np.ndarray:
+        """The common grams of the pairs, 0 where too few."""
         common = np.zeros(len(x), np.int64)
-        for at in range(0, len(x), 30_000):  # of so few pairs the sets can be numbered in 16 bits
-            some, inverse = np.unique(np.concatenate([x[at : at + 30_000], y[at : at + 30_000]]), return_inverse=True)
-            off = np.append(0, np.cumsum(size[some]))
-            grams = np.zeros((int(off[-1]), 8), np.uint8)
-            grams[:, :6] = np.frombuffer(b"".join(blobs[i] for i in some), np.uint8).reshape(-1, 6)
-            grams = grams.view("<u8")[:, 0]
-            e = np.repeat(np.arange(len(some), dtype=U) << U(48), size[some]) | grams
-            common[at : at + 30_000] = _commons(e, grams, off, *np.split(inverse, 2))
-        ok = common >= t * (size[x] + size[y] - common) - 1e-9
-        return pa.RecordBatch.from_arrays([pa.array(pa_[ok]), pa.array(cb[ok]), pa.array(common[ok])], ["ca", "cb", "common"])
+        live = np.flatnonzero(np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9)
+        for at in range(0, len(live), 2_000_000):
+            part = live[at : at + 2_000_000]
+            some = np.unique(np.concatenate([x[part], y[part]]))
+            dense = len(some) <= 4000 and len(part) > max(200, len(some) ** 2 // 16)
+            for k in range(0, len(part), len(part) if dense else 30_000):  # of so few pairs the sets can be numbered in 16 bits
+                mine = part if dense else part[k : k + 30_000]
+                a, b = x[mine], y[mine]
+                a, b = np.where(size[a] < size[b], b, a), np.where(size[a] < size[b], a, b)
+                some, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+                off = np.append(0, np.cumsum(size[some]))
+                grams = np.zeros((int(off[-1]), 8), np.uint8)
+                grams[:, :6] = np.frombuffer(b"".join(blobs[i] for i in some), np.uint8).reshape(-1, 6)
+                grams = grams.view("<u8")[:, 0]
+                if dense:
+                    common[mine] = _products(grams, off, *np.split(inverse, 2))
+                else:
+                    common[mine] = _commons(np.repeat(np.arange(len(some), dtype=U) << U(48), size[some]) | grams, grams, off, *np.split(inverse, 2))
+        return np.where(common >= t * (size[x] + size[y] - common) - 1e-9, common, 0)
+
+    def judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        tile, kind, a, b = (table[x].to_numpy() for x in ("tile", "kind", "a", "b"))
+        data = table["data"].to_pylist()
+        is_set = np.flatnonzero(kind == 0)
+        order = is_set[np.lexsort((a[is_set], b[is_set], tile[is_set]))]
+        order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (tile[order][1:] != tile[order][:-1]))[: len(order)]]  # a repeated row's set comes again
+        c, sid, at = a[order], b[order], tile[order]
+        blobs = [data[i] for i in order]
+        size = np.array([len(x) // 6 for x in blobs], np.int64)
+        links = np.zeros(len(c), np.int64)
+        root = np.arange(len(c))
+        forest: list[tuple[int, int]] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def take(x: np.ndarray, y: np.ndarray) -> None:
+            common = verdict(x, y, blobs, size)
+            ok = common > 0
+            x, y = x[ok], y[ok]
+            if every:
+                found.append((c[x], c[y], common[ok]))
+                return
+            np.add.at(links, x, 1)
+            np.add.at(links, y, 1)
+            # all but the edges of a forest are skipped, whole arrays at a time where most are
+            while len(x):
+                p, q = root[x], root[y]
+                while (root[p] != p).any() or (root[q] != q).any():
+                    p, q = root[p], root[q]
+                apart = np.flatnonzero(p != q)
+                if not len(apart):
+                    break
+                x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+                high, low = np.maximum(p, q), np.minimum(p, q)
+                _, first = np.unique(high, return_index=True)  # each root is hung once
+                root[high[first]] = low[first]
+                forest.extend(zip(x[first].tolist(), y[first].tolist()))
+
+        lists = np.flatnonzero(kind == 1)
+        lists = lists[np.argsort(tile[lists], kind="stable")]
+        edge = np.flatnonzero(np.append(True, tile[lists][1:] != tile[lists][:-1])) if len(lists) else lists
+        low, high = np.searchsorted(at, tile[lists[edge]]), np.searchsorted(at, tile[lists[edge]], side="right")
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for e, begin in enumerate(edge):
+            mine = lists[begin : edge[e + 1] if e + 1 < len(edge) else len(lists)]
+            ids = sid[low[e] : high[e]]
+            x0, y0, n_parts = int(a[mine[0]]), int(b[mine[0]]) >> 32, int(b[mine[0]]) & 0xFFFFFFFF
+            members = []
+            for raw in {data[i] for i in mine}:
+                m = np.frombuffer(raw, np.int64)
+                lo, hi = np.searchsorted(ids, m), np.searchsorted(ids, m, side="right")  # more than one set where sids collide
+                members.append(np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum())))
+            if len(members) == 1 and len(members[0]) == 2:
+                meeting = [(members[0][:1], members[0][1:])]
+            else:
+                meeting = _meeting(members, len(ids))
+            for x, y in meeting:
+                if n_parts:
+                    bx, by = _block(ids[x], n_parts), _block(ids[y], n_parts)
+                    ok = (np.minimum(bx, by) == x0) & (np.maximum(bx, by) == y0)
+                    x, y = x[ok], y[ok]
+                pairs.append((x + low[e], y + low[e]))
+                held += len(x)
+                if held > 1_000_000:
+                    take(*(np.concatenate(z) for z in zip(*pairs)))
+                    pairs, held = [], 0
+        if pairs:
+            take(*(np.concatenate(z) for z in zip(*pairs)))
+        if every:
+            cols = [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], ["ca", "cb", "n"])
+            return
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], ["ca", "cb", "n"])
+        if forest:
+            x, y = (np.array(z) for z in zip(*forest))
+            yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y]), pa.nulls(len(x), pa.int64())], ["ca", "cb", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -489,12 +602,12 @@ def _verified(t: float):
                 cut = int(np.argmax(tile != last)) if (tile != last).any() else batch.num_rows
                 if cut < batch.num_rows:
                     held.append(batch.slice(0, cut))
-                    yield verdicts(held)
+                    yield from judged(held)
                     held, weight, batch = [], 0, batch.slice(cut)
             held.append(batch)
             weight += batch.nbytes
         if held:
-            yield verdicts(held)
+            yield from judged(held)
 
     return run
 
@@ -536,49 +649,44 @@ def components(pairs: DataFrame) -> DataFrame:
             return label
 
 
-def candidates(docs: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int, threshold: float) -> DataFrame:
-    """Pairs (ca, cb) of classes that share a key and may be similar. docs: a row for each class."""
+def lists_of(docs: DataFrame, hot: np.ndarray, n: int, threshold: float) -> DataFrame:
+    """Rows (leader, members) of the sids of sets that share a key. docs: a row for each class."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_key, by_sid, short = Packing(tasks, KEY_BITS, 5, 1, 1), Packing(tasks, SID_BITS, 6, 1, 1, 1), Packing(tasks, KEY_BITS, 5, 1)
+    by_key, by_sid, short = Packing(tasks, KEY_BITS, 5, 1), Packing(tasks, SID_BITS, 6, 1, 1), Packing(tasks, KEY_BITS, 5)
     low = docs.where("text is not null and doc_id is not null").select(F.lower("text").alias("text"))
     keys = by_key.spread(low.mapInArrow(T.lean(_keys(n, threshold, by_key, hot)), KEYED))
     shared = by_sid.spread(keys.mapInArrow(T.lean(_shared(by_key, by_sid)), KEYED))
     rare = short.spread(shared.mapInArrow(T.lean(_rarest(by_sid, short)), KEYED))
-    lists = rare.mapInArrow(T.lean(_lists(short)), "leader bigint, a binary, b binary").repartition(tasks, "leader").sortWithinPartitions("leader")
-    found = rows.cut(lists.mapInArrow(T.lean(_list_pairs(threshold)), "a bigint, b bigint").distinct())
-    of = rows.small(by_class.select("sid", "c", "size"))
-    a, b = (of.select(F.col("sid").alias(s), F.col("c").alias(f"c{s}"), F.col("size").alias(f"s{s}")) for s in "ab")
-    close = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9
-    return rows.cut(found.join(a, "a").join(b, "b").where(close).select("ca", "cb", "sa", "sb"))
+    return rows.cut(rare.mapInArrow(T.lean(_lists(short)), "leader bigint, members binary"))
 
 
-def class_pairs(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (ca, cb, common) of classes whose sets' Jaccard similarity is at least the threshold."""
+def verdicts(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int, threshold: float, every: bool = False) -> DataFrame:
+    """What the tiles give of the classes' pairs whose sets' Jaccard similarity is at least the threshold: see _verified."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = rows.without(docs.select("doc_id", "text"), copies_of(each, by_class))
-    cand = candidates(single, by_class, hot, n, threshold)
-    # a connected group of candidates is one tile, to which each of its sets is sent once; a group of many grams is several
-    label = components(cand)
-    ends = cand.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("sa").alias("s")), F.struct(F.col("cb").alias("c"), F.col("sb").alias("s")))).alias("x")).select("x.*").distinct()
-    weight = ends.join(label, "c").groupBy("l").agg(F.greatest(F.ceil(F.sum(6 * F.col("s").cast("bigint")) / TILE_BYTES), F.ceil(F.count("*") / 20_000)).alias("parts"))
-    pa_, pb_ = F.pmod("ca", "parts"), F.pmod("cb", "parts")
-    tiled = cand.join(label.withColumnRenamed("c", "ca"), "ca").join(weight, "l")
-    tiled = rows.cut(tiled.select("ca", "cb", F.xxhash64("l", F.least(pa_, pb_), F.greatest(pa_, pb_)).alias("tile")))
-    sent = tiled.select("tile", F.explode(F.array("ca", "cb")).alias("c")).distinct().join(by_class.select("c", "key"), "c")
+    lists = lists_of(single, hot, n, threshold)
+    label = components(lists.mapInArrow(T.lean(_stars), "ca bigint, cb bigint").distinct())
+    of = by_class.select("sid", "c", "size", "key")
+    ends = rows.cut(label.withColumnRenamed("c", "sid").join(of, "sid"))
+    grams, sets = F.sum(F.col("size").cast("bigint")), F.count("*")
+    parts = F.greatest(F.ceil(6 * grams / TILE_BYTES), F.ceil(sets / TILE_SETS), F.ceil(F.sqrt(grams.cast("double") * sets / TILE_WORK)))
+    weight = rows.cut(ends.groupBy("l").agg(parts.cast("int").alias("parts")))
+    leads = rows.small(label.join(weight, "l").select(F.col("c").alias("leader"), "l", "parts"))
+    routed = lists.join(leads, "leader").select("l", "parts", "members").mapInArrow(T.lean(_routed), TILED)
+    sent = ends.join(weight, "l").select("l", "parts", "sid").distinct().mapInArrow(T.lean(_sent), "tile bigint, sid bigint").join(of.drop("size"), "sid")
     texts = single.where("text is not null").select(rows.row_key().alias("key"), F.lower("text").alias("text"))
     # sets are computed again for the candidates only
-    sets = texts.join(rows.small(rows.cut(sent)), "key").select("tile", "c", "text").mapInArrow(T.lean(_sets(n)), "tile bigint, kind tinyint, ca bigint, cb bigint, grams binary")
+    again = texts.join(rows.small(rows.cut(sent)), "key").select("tile", "c", "sid", "text").mapInArrow(T.lean(_sets(n)), TILED)
     if not by_class.where("again > 1").isEmpty():
-        sets = sets.dropDuplicates(["tile", "ca"])
-    pairs = tiled.select("tile", F.lit(1).cast("tinyint").alias("kind"), "ca", "cb", F.lit(None).cast("binary").alias("grams"))
-    gathered = sets.union(pairs).repartition(tasks, "tile").sortWithinPartitions("tile", "kind")
-    return gathered.mapInArrow(T.lean(_verified(threshold)), "ca bigint, cb bigint, common bigint")
+        again = again.dropDuplicates(["tile", "a"])
+    gathered = again.union(routed).repartition(tasks, "tile").sortWithinPartitions("tile", "kind")
+    return gathered.mapInArrow(T.lean(_verified(threshold, every)), "ca bigint, cb bigint, n bigint")
 
 
 def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of different sets with Jaccard similarity of at least the threshold: rows (doc_a, doc_b, n_a, n_b, common, jaccard), each set by its least doc_id."""
     each, by_class, hot = members(docs, n)
-    pairs = class_pairs(docs, each, by_class, hot, n, threshold)
+    pairs = verdicts(docs, each, by_class, hot, n, threshold, every=True).withColumnRenamed("n", "common")
     a, b = (by_class.select(F.col("c").alias(f"c{s}"), F.struct(F.col("first").alias("doc"), F.col("size").alias("n")).alias(s)) for s in "ab")
     both = pairs.join(a, "ca").join(b, "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
     jaccard = F.col("common") / (F.col("a.n") + F.col("b.n") - F.col("common"))
@@ -592,10 +700,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     included; n_links: the other sets that it is similar to. A row without words has no class, and 0.
     """
     each, by_class, hot = members(docs, n)
-    pairs = rows.cut(class_pairs(docs, each, by_class, hot, n, threshold).select("ca", "cb"))
-    label = components(pairs)
+    found = rows.cut(verdicts(docs, each, by_class, hot, n, threshold))
+    label = components(found.where("cb is not null"))
     least = label.join(by_class.select("c", "first"), "c").groupBy("l").agg(F.min("first").alias("class_id"))
-    count = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    count = found.where("cb is null").groupBy(F.col("ca").alias("c")).agg(F.sum("n").alias("n_links"))
     near = label.join(least, "l").join(count, "c").select("c", "class_id", "n_links")
     classes = by_class.select("c", "first", "copies").join(near, "c", "left").select("c", F.coalesce("class_id", "first").alias("class_id"), F.col("copies").alias("n_copies"), "n_links")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x)
@@ -609,8 +717,8 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     text without words, stays. Of rows with one doc_id and equal sets one stays.
     """
     each, by_class, hot = members(docs, n)
-    pairs = rows.cut(class_pairs(docs, each, by_class, hot, n, threshold).select("ca", "cb"))
-    ranked = components(pairs).join(by_class.select("c", F.struct("first", "c").alias("me")), "c")
+    found = rows.cut(verdicts(docs, each, by_class, hot, n, threshold).where("cb is not null"))
+    ranked = components(found).join(by_class.select("c", F.struct("first", "c").alias("me")), "c")
     least = ranked.groupBy("l").agg(F.min("me").alias("least"))
     lost = rows.cut(ranked.join(least, "l").where("least.c != c").select("c"))
     gone = each.join(lost, "c", "left_semi").select("k")

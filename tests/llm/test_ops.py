@@ -162,7 +162,6 @@ def brute_rows(rows, t):
 @pytest.mark.parametrize("t, hot", [(0.8, 1000), (0.5, 1000), (0.4, 2)])
 def test_ngram_join_equals_brute_force(spark, corpus, monkeypatch, t, hot):
     monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
     docs = docs_of(spark, corpus)
     got = ngram_join.linked(docs, threshold=t).collect()
     want, _ = brute_pairs(corpus, t)
@@ -178,7 +177,7 @@ def test_frequent_grams_and_tiles_lose_no_pair(spark, monkeypatch):
     rows += [(400 + k, rows[k][1] + " " + prose(rng, rng.randint(0, 5)), "s") for k in range(0, 400, 5)]
     rows += [(1000, rows[7][1], "s")] * 30
     want, _ = brute_pairs(rows, 0.4)
-    for name, value in (("HOT_LEAST", 50), ("TILE_BYTES", 2000), ("GATHER", 5000), ("BLOCK", 64)):
+    for name, value in (("HOT_LEAST", 50), ("TILE_BYTES", 20_000), ("GATHER", 5000)):
         monkeypatch.setattr(ngram_join, name, value)
     docs = docs_of(spark, rows)
     assert len(ngram_join.members(docs)[2]) > 30
