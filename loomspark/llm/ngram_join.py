@@ -23,8 +23,9 @@ out first, so that no task ever gathers them. All this is exact, up to 64-bit ha
 Keys travel packed, a binary of many sets' keys for each bucket of the key space: 11 bytes a key instead of a row. The sets of a key
 are a list; sets that lists connect are a tile, to which their grams and lists go once. The tile pairs its
 sets by a product of the lists' incidence matrix, so a pair is found once however many keys it shares, and verifies the pairs on the grams.
-Neither candidates nor pairs are ever shuffled: a tile gives each set's number of links and a spanning forest of
-them. A tile of much work is split into blocks of sets that meet two at a time.
+Neither candidates nor pairs are shuffled: a tile gives each set's number of links and a spanning forest of
+them. A tile of much work is split into blocks of sets that meet two at a time; a large group that few lists hold together
+is split by the lists' least members instead, and as two sets may then meet in several tiles, its similar pairs are given and made distinct.
 
 Identical sets are joined once, as a class, so a text with thousands of copies costs no more pairs
 than any other; a class is never gathered anywhere.
@@ -54,6 +55,8 @@ N, THRESHOLD, BAND = 5, 0.4, 1.5
 HOT_SHARE, HOT_LEAST, HOT_MOST = 100, 1000, 200_000
 #: Keys that are packed together; a tile's most bytes of grams, sets, and grams times sets, about.
 GATHER, TILE_BYTES, TILE_SETS, TILE_WORK = 1_500_000, 32 << 20, 20_000, 300_000_000
+#: Pairs of which one task finds the connected groups (16 MB).
+ONE_TASK = 1_000_000
 KEY_BITS, SID_BITS = 48, 40
 U = np.uint64
 KEYED = "bucket int, n int, data binary"
@@ -354,6 +357,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["ca", "cb"])
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (l, members) as rows (l, sid)."""
+    for batch in (part for whole in batches for part in T.slices(whole, 1)):
+        raw, off = T.buffers(batch.column(1).cast(pa.large_binary()))
+        each = np.unique(np.stack([np.repeat(batch.column(0).to_numpy(), np.diff(off) // 8), np.frombuffer(raw.tobytes(), np.int64)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], ["l", "sid"])
+
+
 def _tile(l: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return T.mix(l.astype(np.int64).view(U) ^ T.mix(np.minimum(i, j).astype(U) * U(1 << 32) + np.maximum(i, j).astype(U))).view(np.int64)
 
@@ -362,43 +373,58 @@ def _block(sid: np.ndarray, parts: int) -> np.ndarray:
     return (T.mix(sid.astype(np.int64).view(U)) % U(parts)).astype(np.int64)
 
 
+#: Mark of tiles whose sets may meet in others.
+SHARED = 1 << 30
 TILED = "tile bigint, kind tinyint, a bigint, b bigint, data binary"
 
 
 def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists (l, parts, members) as rows (tile, kind 1, block, block << 32 | parts, members): to every tile that pairs two of their blocks."""
-    for batch in batches:
-        out: list[tuple[int, int, int, bytes]] = []
-        one = batch.column(1).to_numpy() == 1
-        l = batch.column(0).to_numpy()
-        simple = batch.filter(pa.array(one))
-        zero = np.zeros(int(one.sum()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(_tile(l[one], zero, zero)), pa.array(zero.astype(np.int8) + 1, pa.int8()), pa.array(zero), pa.array(zero), simple.column(2)], ["tile", "kind", "a", "b", "data"])
-        for k in np.flatnonzero(~one):
-            sid, parts = np.frombuffer(batch.column(2)[k].as_py(), np.int64), batch.column(1)[k].as_py()
-            block = _block(sid, parts)
-            have = np.unique(block)
-            for x in have:
-                for y in have[have >= x]:
-                    mine = sid[(block == x) | (block == y)]
-                    if len(mine) > 1:
-                        out.append((int(_tile(l[k : k + 1], np.array([x]), np.array([y]))[0]), int(x), int(y) << 32 | parts, mine.tobytes()))
-                if sum(len(m) for *_, m in out) > 4 << 20:
-                    yield _rows_of(out)
-                    out = []
-        if out:
-            yield _rows_of(out)
+    """Lists (l, parts, members) as rows (tile, kind 1, block, block << 32 | parts, members): to every tile that pairs two of their blocks; parts is negative where sets may meet in other tiles too."""
 
+    def rows_of(tile: np.ndarray, x: np.ndarray, y: np.ndarray, members: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.ones(len(tile), np.int8)), pa.array(x), pa.array(y), members], ["tile", "kind", "a", "b", "data"])
 
-def _rows_of(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    tile, x, y, members = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array([1] * len(out), pa.int8()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(members, pa.binary())], ["tile", "kind", "a", "b", "data"])
+    for batch in (part for whole in batches for part in T.slices(whole, 2)):
+        shared = np.where(batch.column(1).to_numpy() < 0, SHARED, 0)
+        one = np.abs(batch.column(1).to_numpy()) == 1
+        zero = np.zeros(int(one.sum()), np.int64)
+        yield rows_of(_tile(batch.column(0).to_numpy()[one], zero, zero), zero, shared[one], batch.column(2).filter(pa.array(one)).cast(pa.binary()))
+        if one.all():
+            continue
+        rest = batch.filter(pa.array(~one))
+        l, parts = rest.column(0).to_numpy(), np.abs(rest.column(1).to_numpy()).astype(np.int64)
+        shared = shared[~one]
+        raw, off = T.buffers(rest.column(2).cast(pa.large_binary()))
+        sid, n = np.frombuffer(raw.tobytes(), np.int64), np.diff(off) // 8
+        owner = np.repeat(np.arange(len(l)), n)
+        block = (T.mix(sid.view(U)) % parts.astype(U)[owner]).astype(np.int64)
+        order = np.lexsort((block, owner))
+        sid, owner, block = sid[order], owner[order], block[order]
+        seg = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])))
+        size = np.diff(np.append(seg, len(sid)))
+        # each segment of a list with itself and those after it
+        last = np.searchsorted(owner[seg], owner[seg], side="right")
+        count = last - np.arange(len(seg))
+        for a in range(0, len(seg), 20_000):
+            x = np.repeat(np.arange(a, min(a + 20_000, len(seg))), count[a : a + 20_000])
+            y = x + np.arange(len(x)) - np.repeat(np.cumsum(count[a : a + 20_000]) - count[a : a + 20_000], count[a : a + 20_000])
+            second = np.where(x == y, 0, size[y])
+            use = size[x] + second > 1
+            x, y, second = x[use], y[use], second[use]
+            starts, lengths = np.stack([seg[x], seg[y]], 1).ravel(), np.stack([size[x], second], 1).ravel()
+            ends = np.cumsum(lengths)
+            flat = sid[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
+            cuts = np.append(0, np.cumsum(8 * (size[x] + second))).astype(np.int64)
+            members = pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+            i, j = block[seg[x]], block[seg[y]]
+            yield rows_of(_tile(l[owner[seg[x]]], i, j), i, j << 32 | parts[owner[seg[x]]] | shared[owner[seg[x]]], members)
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members (l, parts, sid) as rows (tile, sid): to every tile that has their block."""
     for batch in batches:
         l, parts, sid = (batch.column(i).to_numpy() for i in range(3))
+        parts = np.abs(parts)
         of = np.repeat(np.arange(len(l)), parts)
         other = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
         own = np.concatenate([_block(sid[k : k + 1], int(parts[k])) for k in np.flatnonzero(parts > 1)]) if (parts > 1).any() else np.zeros(0, np.int64)
@@ -483,7 +509,7 @@ def _products(grams: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray)
 
 
 def _verified(t: float, every: bool):
-    """The similar pairs of each tile: (c, null, its links) and the pairs (ca, cb, null) of a spanning forest; or, if every, all (ca, cb, common).
+    """The similar pairs of each tile, as rows (kind, ca, cb, n): a set and its links (kind 0), and pairs of a spanning forest (kind 1); pairs and their common grams (kind 2) where sets may meet in other tiles, or if every.
 
     Rows come sorted by tile and kind: a tile's sets (kind 0: c, sid, grams), then its lists (kind 1: two blocks and their number, sids).
     """
@@ -526,39 +552,26 @@ def _verified(t: float, every: bool):
         forest: list[tuple[int, int]] = []
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def take(x: np.ndarray, y: np.ndarray) -> None:
+        def take(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> None:
             common = verdict(x, y, blobs, size)
             ok = common > 0
-            x, y = x[ok], y[ok]
-            if every:
-                found.append((c[x], c[y], common[ok]))
-                return
-            np.add.at(links, x, 1)
-            np.add.at(links, y, 1)
-            # all but the edges of a forest are skipped, whole arrays at a time where most are
-            while len(x):
-                p, q = root[x], root[y]
-                while (root[p] != p).any() or (root[q] != q).any():
-                    p, q = root[p], root[q]
-                apart = np.flatnonzero(p != q)
-                if not len(apart):
-                    break
-                x, y, p, q = x[apart], y[apart], p[apart], q[apart]
-                high, low = np.maximum(p, q), np.minimum(p, q)
-                _, first = np.unique(high, return_index=True)  # each root is hung once
-                root[high[first]] = low[first]
-                forest.extend(zip(x[first].tolist(), y[first].tolist()))
+            x, y, shared = x[ok], y[ok], shared[ok] | every
+            found.append((c[x[shared]], c[y[shared]], common[ok][shared]))
+            np.add.at(links, x[~shared], 1)
+            np.add.at(links, y[~shared], 1)
+            for joined in _roots(x, y, root):
+                forest.extend(zip(x[joined].tolist(), y[joined].tolist()))
 
         lists = np.flatnonzero(kind == 1)
         lists = lists[np.argsort(tile[lists], kind="stable")]
         edge = np.flatnonzero(np.append(True, tile[lists][1:] != tile[lists][:-1])) if len(lists) else lists
         low, high = np.searchsorted(at, tile[lists[edge]]), np.searchsorted(at, tile[lists[edge]], side="right")
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
         for e, begin in enumerate(edge):
             mine = lists[begin : edge[e + 1] if e + 1 < len(edge) else len(lists)]
             ids = sid[low[e] : high[e]]
-            x0, y0, n_parts = int(a[mine[0]]), int(b[mine[0]]) >> 32, int(b[mine[0]]) & 0xFFFFFFFF
+            x0, y0, n_parts = int(a[mine[0]]), int(b[mine[0]]) >> 32, int(b[mine[0]]) & SHARED - 1
             members = []
             for raw in {data[i] for i in mine}:
                 m = np.frombuffer(raw, np.int64)
@@ -573,22 +586,24 @@ def _verified(t: float, every: bool):
                     bx, by = _block(ids[x], n_parts), _block(ids[y], n_parts)
                     ok = (np.minimum(bx, by) == x0) & (np.maximum(bx, by) == y0)
                     x, y = x[ok], y[ok]
-                pairs.append((x + low[e], y + low[e]))
+                pairs.append((x + low[e], y + low[e], np.full(len(x), bool(int(b[mine[0]]) & SHARED))))
                 held += len(x)
                 if held > 1_000_000:
                     take(*(np.concatenate(z) for z in zip(*pairs)))
                     pairs, held = [], 0
         if pairs:
             take(*(np.concatenate(z) for z in zip(*pairs)))
-        if every:
-            cols = [np.concatenate(z) for z in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in cols], ["ca", "cb", "n"])
-            return
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(c[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some])], ["ca", "cb", "n"])
+        yield answer(0, c[some], None, links[some])
         if forest:
             x, y = (np.array(z) for z in zip(*forest))
-            yield pa.RecordBatch.from_arrays([pa.array(c[x]), pa.array(c[y]), pa.nulls(len(x), pa.int64())], ["ca", "cb", "n"])
+            yield answer(1, c[x], c[y], None)
+        for x, y, common in found:
+            yield answer(2, np.minimum(x, y), np.maximum(x, y), common)
+
+    def answer(kind: int, x: np.ndarray, y: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(x), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int8)), pa.array(x), none if y is None else pa.array(y), none if n is None else pa.array(n)], ["kind", "ca", "cb", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -635,8 +650,42 @@ def copies_of(each: DataFrame, by_class: DataFrame) -> DataFrame:
     return each.where("size > 0").join(by_class.where("copies > 1").select("c", "key"), "c").where("k != key").select("k").distinct()
 
 
+def _roots(x: np.ndarray, y: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    """Joins the ends of the pairs in the forest `root`, each tree's root being its least number; gives the pairs that joined two trees."""
+    at = np.arange(len(x))
+    while len(at):
+        p, q = root[x[at]], root[y[at]]
+        while (root[p] != p).any() or (root[q] != q).any():
+            p, q = root[p], root[q]
+        apart = np.flatnonzero(p != q)
+        if not len(apart):
+            return
+        at, p, q = at[apart], p[apart], q[apart]
+        high, low = np.maximum(p, q), np.minimum(p, q)
+        _, first = np.unique(high, return_index=True)  # each root is hung once
+        root[high[first]] = low[first]
+        yield at[first]
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (c, l) of all pairs, which are one partition of at most ONE_TASK."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if ends:
+        values, at = np.unique(np.concatenate(ends, 1), return_inverse=True)
+        at = at.reshape(2, -1)
+        root = np.arange(len(values))
+        for _ in _roots(at[0], at[1], root):
+            pass
+        while (root[root] != root).any():
+            root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(values[root])], ["c", "l"])
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """Rows (c, l): the ends of pairs (ca, cb), and the least end that each is connected with."""
+    """Rows (c, l): the ends of pairs (ca, cb), and the least end that each is connected with. Up to ONE_TASK pairs are joined in one task, more in rounds of shuffles."""
+    pairs = rows.cut(pairs.select("ca", "cb"))
+    if pairs.count() <= ONE_TASK:
+        return rows.cut(pairs.coalesce(1).mapInArrow(T.lean(_labels), "c bigint, l bigint"))
     both = rows.cut(pairs.select("ca", "cb").union(pairs.select("cb", "ca")).toDF("c", "o"))
     label = rows.cut(both.groupBy("c").agg(F.min(F.least("c", "o")).alias("l")))
     while True:  # labels spread along edges, and jump to their label's label, until none changes
@@ -657,7 +706,7 @@ def lists_of(docs: DataFrame, hot: np.ndarray, n: int, threshold: float) -> Data
     keys = by_key.spread(low.mapInArrow(T.lean(_keys(n, threshold, by_key, hot)), KEYED))
     shared = by_sid.spread(keys.mapInArrow(T.lean(_shared(by_key, by_sid)), KEYED))
     rare = short.spread(shared.mapInArrow(T.lean(_rarest(by_sid, short)), KEYED))
-    return rows.cut(rare.mapInArrow(T.lean(_lists(short)), "leader bigint, members binary"))
+    return rows.cut(rare.mapInArrow(T.lean(_lists(short)), "leader bigint, members binary").distinct())
 
 
 def verdicts(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndarray, n: int, threshold: float, every: bool = False) -> DataFrame:
@@ -667,12 +716,21 @@ def verdicts(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndar
     lists = lists_of(single, hot, n, threshold)
     label = components(lists.mapInArrow(T.lean(_stars), "ca bigint, cb bigint").distinct())
     of = by_class.select("sid", "c", "size", "key")
-    ends = rows.cut(label.withColumnRenamed("c", "sid").join(of, "sid"))
+    ends = rows.cut(label.withColumnRenamed("c", "sid").join(of.select("sid", "size"), "sid"))
+    lists = rows.cut(lists.join(rows.small(label.select(F.col("c").alias("leader"), "l")), "leader"))
     grams, sets = F.sum(F.col("size").cast("bigint")), F.count("*")
-    parts = F.greatest(F.ceil(6 * grams / TILE_BYTES), F.ceil(sets / TILE_SETS), F.ceil(F.sqrt(grams.cast("double") * sets / TILE_WORK)))
-    weight = rows.cut(ends.groupBy("l").agg(parts.cast("int").alias("parts")))
-    leads = rows.small(label.join(weight, "l").select(F.col("c").alias("leader"), "l", "parts"))
-    routed = lists.join(leads, "leader").select("l", "parts", "members").mapInArrow(T.lean(_routed), TILED)
+    parts = F.greatest(F.ceil(6 * grams / TILE_BYTES), F.ceil(sets / TILE_SETS), F.ceil(F.sqrt(grams.cast("double") * sets / TILE_WORK))).cast("int").alias("parts")
+    weight = ends.groupBy("l").agg(parts, sets.alias("sets"))
+    # large groups of which the lists cover little
+    met = lists.groupBy("l").agg(F.sum(F.pow(F.length("members") / 8, 2)).alias("met"))
+    weight = rows.cut(weight.join(met, "l").select("l", "parts", ((F.col("parts") > 1) & (4 * F.col("met") < F.pow("sets", 2))).alias("loose")))
+    lists = rows.cut(lists.join(rows.small(weight), "l").select(F.when(F.col("loose"), F.xxhash64("l", "leader")).otherwise(F.col("l")).alias("l"), "members", "parts", "loose"))
+    pieces = lists.where("loose").select("l", "members").mapInArrow(T.lean(_members), "l bigint, sid bigint").distinct().join(of.select("sid", "size"), "sid")
+    small_parts = rows.cut(pieces.groupBy("l").agg((-parts).alias("parts")))
+    tight = weight.where("not loose").select("l", "parts")
+    weight = rows.cut(tight.union(small_parts))
+    ends = ends.join(tight.select("l"), "l", "left_semi").select("l", "sid").union(pieces.select("l", "sid"))
+    routed = lists.select("l", "members").join(rows.small(weight), "l").select("l", "parts", "members").mapInArrow(T.lean(_routed), TILED)
     sent = ends.join(weight, "l").select("l", "parts", "sid").distinct().mapInArrow(T.lean(_sent), "tile bigint, sid bigint").join(of.drop("size"), "sid")
     texts = single.where("text is not null").select(rows.row_key().alias("key"), F.lower("text").alias("text"))
     # sets are computed again for the candidates only
@@ -680,13 +738,13 @@ def verdicts(docs: DataFrame, each: DataFrame, by_class: DataFrame, hot: np.ndar
     if not by_class.where("again > 1").isEmpty():
         again = again.dropDuplicates(["tile", "a"])
     gathered = again.union(routed).repartition(tasks, "tile").sortWithinPartitions("tile", "kind")
-    return gathered.mapInArrow(T.lean(_verified(threshold, every)), "ca bigint, cb bigint, n bigint")
+    return gathered.mapInArrow(T.lean(_verified(threshold, every)), "kind tinyint, ca bigint, cb bigint, n bigint")
 
 
 def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of different sets with Jaccard similarity of at least the threshold: rows (doc_a, doc_b, n_a, n_b, common, jaccard), each set by its least doc_id."""
     each, by_class, hot = members(docs, n)
-    pairs = verdicts(docs, each, by_class, hot, n, threshold, every=True).withColumnRenamed("n", "common")
+    pairs = verdicts(docs, each, by_class, hot, n, threshold, every=True).where("kind = 2").select("ca", "cb", F.col("n").alias("common")).distinct()
     a, b = (by_class.select(F.col("c").alias(f"c{s}"), F.struct(F.col("first").alias("doc"), F.col("size").alias("n")).alias(s)) for s in "ab")
     both = pairs.join(a, "ca").join(b, "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
     jaccard = F.col("common") / (F.col("a.n") + F.col("b.n") - F.col("common"))
@@ -701,9 +759,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     """
     each, by_class, hot = members(docs, n)
     found = rows.cut(verdicts(docs, each, by_class, hot, n, threshold))
-    label = components(found.where("cb is not null"))
+    label = components(found.where("kind = 1"))
     least = label.join(by_class.select("c", "first"), "c").groupBy("l").agg(F.min("first").alias("class_id"))
-    count = found.where("cb is null").groupBy(F.col("ca").alias("c")).agg(F.sum("n").alias("n_links"))
+    met = found.where("kind = 2").select("ca", "cb").distinct().select(F.explode(F.array("ca", "cb")).alias("c"), F.lit(1).cast("bigint").alias("n"))
+    count = found.where("kind = 0").select(F.col("ca").alias("c"), "n").union(met).groupBy("c").agg(F.sum("n").alias("n_links"))
     near = label.join(least, "l").join(count, "c").select("c", "class_id", "n_links")
     classes = by_class.select("c", "first", "copies").join(near, "c", "left").select("c", F.coalesce("class_id", "first").alias("class_id"), F.col("copies").alias("n_copies"), "n_links")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x)
@@ -717,7 +776,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataF
     text without words, stays. Of rows with one doc_id and equal sets one stays.
     """
     each, by_class, hot = members(docs, n)
-    found = rows.cut(verdicts(docs, each, by_class, hot, n, threshold).where("cb is not null"))
+    found = rows.cut(verdicts(docs, each, by_class, hot, n, threshold).where("kind = 1"))
     ranked = components(found).join(by_class.select("c", F.struct("first", "c").alias("me")), "c")
     least = ranked.groupBy("l").agg(F.min("me").alias("least"))
     lost = rows.cut(ranked.join(least, "l").where("least.c != c").select("c"))

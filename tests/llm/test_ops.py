@@ -170,14 +170,18 @@ def test_ngram_join_equals_brute_force(spark, corpus, monkeypatch, t, hot):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0 and ngram_join.linked(empty(spark)).count() == 0
 
 
-def test_frequent_grams_and_tiles_lose_no_pair(spark, monkeypatch):
+@pytest.mark.parametrize("tile, value", [("TILE_BYTES", 20_000), ("TILE_WORK", 30_000)])
+def test_frequent_grams_and_tiles_lose_no_pair(spark, monkeypatch, tile, value):
     rng = random.Random(4)
     lines = [prose(rng, 40) for _ in range(4)]
     rows = [(k, f"{lines[k % 4]} {prose(rng, rng.randint(1, 60))}", "s") for k in range(400)]
     rows += [(400 + k, rows[k][1] + " " + prose(rng, rng.randint(0, 5)), "s") for k in range(0, 400, 5)]
     rows += [(1000, rows[7][1], "s")] * 30
+    rows += [(2000 + k, " ".join(prose(rng, 20) if j != k % 3 else chain for j, chain in enumerate([prose(rng, 20)] * 3)), "s") for k in range(20)]
+    base = [prose(rng, 30) for _ in range(120)]
+    rows += [(3000 + k, f"{base[k]} {base[(k + 1) % 120]} {prose(rng, 6)}", "s") for k in range(120)]  # a long chain of lists
     want, _ = brute_pairs(rows, 0.4)
-    for name, value in (("HOT_LEAST", 50), ("TILE_BYTES", 20_000), ("GATHER", 5000)):
+    for name, value in (("HOT_LEAST", 50), (tile, value), ("GATHER", 5000)):
         monkeypatch.setattr(ngram_join, name, value)
     docs = docs_of(spark, rows)
     assert len(ngram_join.members(docs)[2]) > 30
@@ -203,6 +207,14 @@ def test_keep_one_keeps_the_first_of_each_group(spark, corpus):
     assert kept.columns == docs_of(spark, corpus).columns and ngram_join.keep_one(empty(spark)).count() == 0
 
 
+def test_groups_in_one_task_and_in_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 30), (30, 25), (7, 3), (50, 50)], "ca bigint, cb bigint")
+    for most in (100, 0):
+        monkeypatch.setattr(ngram_join, "ONE_TASK", most)
+        assert sorted(map(tuple, ngram_join.components(edges).collect())) == [*((k, 0) for k in range(10)), (20, 20), (25, 20), (30, 20), (50, 50)]
+        assert ngram_join.components(edges.limit(0)).count() == 0
+
+
 def test_one_identifier_with_different_texts(spark):
     rng = random.Random(2)
     a, b = prose(rng, 60), prose(rng, 60)
