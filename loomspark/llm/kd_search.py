@@ -1,11 +1,11 @@
-"""Exact nearest neighbours of every vector by KD-trees, one a shard.
+"""Exact nearest neighbours of all vectors, or of those asked for, by KD-trees, one a shard.
 
 Vectors are put into spatial shards by the median splits of a bounded sample (the result doesn't depend on
 them, only the pruning does). Each shard is a KD-tree: median splits on the widest dimension down to leaves of
-LEAF vectors, every leaf with the tight bounding box of what it holds. First each shard answers its own queries
-best-first: leaves in order of the distance between a leaf's box and the queries' box, until none can
-be nearer than the k-th distance so far; queries are taken a leaf at a time, so that distances are
-matrix products. Then each query's k-th distance is propagated: a query visits another shard only if its
+LEAF vectors, every node with the tight bounding box of what it holds. First each shard answers its own queries
+best-first: of the nodes that wait, the one whose box is nearest to any query that needs it is next; a node goes with
+those queries only that its box is within the k-th distance so far of, and is left out with all below it if there are none. Queries
+are taken a leaf at a time, so that distances are matrix products. Then each query's k-th distance is propagated: a query visits another shard only if its
 distance to the shard's box is below it, and carries its bound along, and the answers are merged.
 
 Distances are recomputed in double precision for the vectors that single precision can't decide; equal
@@ -19,9 +19,11 @@ others all are given; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rows
@@ -66,28 +68,28 @@ def route(x: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
 
 
 class Tree:
-    """A KD-tree of vectors with double-precision copies: leaves as ranges of one order, and their boxes."""
+    """A KD-tree of vectors with double-precision copies: nodes as ranges of one order, their boxes and children (none: a leaf)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF):
-        order, bounds = np.arange(len(ids)), []
-        work = [(0, len(ids))]
-        while work:
-            a, b = work.pop()
+        order = np.arange(len(ids))
+        self.nodes = [(0, len(ids))] if len(ids) else []
+        self.below: list[tuple[int, ...]] = []
+        for a, b in self.nodes:  # which grows
             if b - a <= leaf:
-                if b > a:
-                    bounds.append((a, b))
+                self.below.append(())
                 continue
             part = x[order[a:b]]
             d = int((part.max(0) - part.min(0)).argmax())
             mid = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(part[:, d], mid)]
-            work += [(a, a + mid), (a + mid, b)]
-        self.bounds = sorted(bounds)
+            self.below.append((len(self.nodes), len(self.nodes) + 1))
+            self.nodes += [(a, a + mid), (a + mid, b)]
+        self.bounds = sorted(x for x, below in zip(self.nodes, self.below) if not below)
         self.ids, self.x = ids[order], x[order]
         self.single = self.x.astype(np.float32)
         self.norm = np.einsum("ij,ij->i", self.single, self.single)
-        self.low = np.array([self.x[a:b].min(0) for a, b in self.bounds])
-        self.high = np.array([self.x[a:b].max(0) for a, b in self.bounds])
+        self.low = np.array([self.x[a:b].min(0) for a, b in self.nodes])
+        self.high = np.array([self.x[a:b].max(0) for a, b in self.nodes])
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k nearest others of each query: numbers of queries, identifiers and squared distances, in any order.
@@ -100,18 +102,23 @@ class Tree:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         single = q.astype(np.float32)
         norm = np.einsum("ij,ij->i", single, single)
-        low, high = q.min(0), q.max(0)
-        gap = np.maximum(0, np.maximum(self.low - high, low - self.high))
-        near = np.einsum("ij,ij->i", gap, gap)
         reach = bound.copy()
-        for leaf in np.argsort(near, kind="stable"):
-            if near[leaf] > reach.max():
-                break  # best first: all others are farther
-            gap = np.maximum(0, np.maximum(self.low[leaf] - q, q - self.high[leaf]))
-            live = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= reach)
+        waiting = [(0.0, 0, np.arange(n), np.zeros(n))]
+        while waiting:
+            _, node, live, near = heapq.heappop(waiting)
+            ok = near <= reach[live]  # their k-th distances may have shrunk since
+            live = live[ok]
             if not len(live):
                 continue
-            a, b = self.bounds[leaf]
+            if self.below[node]:
+                for child in self.below[node]:
+                    gap = np.maximum(0, np.maximum(self.low[child] - q[live], q[live] - self.high[child]))
+                    far = np.einsum("ij,ij->i", gap, gap)
+                    ok = far <= reach[live]
+                    if ok.any():
+                        heapq.heappush(waiting, (float(far[ok].min()), child, live[ok], far[ok]))
+                continue
+            a, b = self.nodes[node]
             d = norm[live, None] + self.norm[None, a:b] - 2 * (single[live] @ self.single[a:b].T)
             # single precision errs by less than this
             slack = 1e-5 * (norm[live, None] + self.norm[None, a:b]) + 1e-9
@@ -152,11 +159,13 @@ def _asked(tree: Tree, q: Tree, bound: np.ndarray, k: int) -> pd.DataFrame:
 
 
 def _own(k: int, size: int):
-    """Neighbours of a shard's vectors among themselves."""
+    """Neighbours of a shard's queries among its vectors."""
 
     def run(held: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(held["id"].to_numpy(), _matrix(held["v"], size))
-        return _asked(tree, tree, np.full(len(held), np.inf), k)
+        ids, x, asked = held["id"].to_numpy(), _matrix(held["v"], size), held["asked"].to_numpy()
+        tree = Tree(ids, x)
+        q = tree if asked.all() else Tree(ids[asked], x[asked])
+        return _asked(tree, q, np.full(len(q.ids), np.inf), k)
 
     return run
 
@@ -199,12 +208,12 @@ def _visits(shards: np.ndarray, low: np.ndarray, high: np.ndarray):
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Rows (vec_id, rank, neighbour, distance): the k nearest others of every vector by Euclidean distance."""
+def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, ident: str = "vec_id", column: str = "embedding", asked: Column | None = None) -> DataFrame:
+    """Rows (vec_id, rank, neighbour, distance): the k nearest others, of all vectors, by Euclidean distance; for every vector, or those of which the identifier meets `asked`."""
     spark = vectors.sparkSession
-    clean = vectors.where(F.col(ident).isNotNull() & F.col(column).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("v"))
+    clean = vectors.where(F.col(ident).isNotNull() & F.col(column).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.lit(True) if asked is None else asked).alias("asked"))
     clean = clean.where(F.forall("v", lambda e: e.isNotNull() & (F.abs(e) < float("inf"))) & (F.size("v") > 0))
-    clean = clean.groupBy("id").agg(F.min("v").alias("v"))
+    clean = clean.groupBy("id").agg(F.min("v").alias("v"), F.coalesce(F.bool_or("asked"), F.lit(False)).alias("asked"))
     sizes = clean.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").first()
     answer = "id bigint, neighbour bigint, d2 double"
     if sizes is None:
@@ -215,18 +224,20 @@ def top_k(vectors: DataFrame, k: int = K, shard: int = SHARD, ident: str = "vec_
         depth = max(0, int(np.ceil(np.log2(max(1, count / shard)))))
         sample = clean.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas() if depth else None
         tree = splits(_matrix(sample["v"], size), depth) if depth else []
-        held = rows.cut(clean.mapInPandas(_route(tree, size), "id bigint, v array<double>, shard bigint"))
+        held = rows.cut(clean.mapInPandas(_route(tree, size), "id bigint, v array<double>, asked boolean, shard bigint"))
         found = rows.cut(held.groupBy("shard").applyInPandas(_own(k, size), answer))
         if depth:
             kth = found.groupBy("id").agg(F.when(F.count("*") >= k, F.max("d2")).otherwise(float("inf")).alias("kth"))
             boxes = held.select("shard", F.posexplode("v").alias("i", "e")).groupBy("shard", "i").agg(F.min("e").alias("low"), F.max("e").alias("high"))
             boxes = boxes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("b")).orderBy("shard").collect()
             low, high = (np.array([[e[x] for e in row["b"]] for row in boxes]) for x in (1, 2))
-            bounded = held.join(kth, "id", "left").select("shard", "id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
+            bounded = held.where("asked").join(kth, "id", "left").select("shard", "id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("kth"))
             out = bounded.mapInPandas(_visits(np.array([row["shard"] for row in boxes]), low, high), "shard bigint, id bigint, v array<double>, kth double")
-            blocks = -(-count // BLOCK)
-            out = out.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-            hosts = held.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+            blocks = -(-held.where("asked").count() // BLOCK) or 1
+            out = rows.cut(out.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
+            # a shard goes to the blocks that visit it
+            met = rows.small(out.select(F.col("shard").alias("s"), F.col("block").alias("b")).distinct())
+            hosts = held.join(met, F.col("shard") == F.col("s")).select("shard", "id", "v", F.col("b").alias("block"))
             more = out.groupBy("shard", "block").cogroup(hosts.groupBy("shard", "block")).applyInPandas(_visited(k, size), answer)
             found = found.union(rows.cut(more))
     best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "neighbour"))), 1, k).alias("best"))

@@ -83,7 +83,7 @@ SELECT doc_id, min(b)::INT AS begin_word, max(e)::INT AS end_word, min(first_doc
 
 TOP_K = f"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbour)::INT AS rank FROM d)
 SELECT vec_id, rank, neighbour, round(sqrt(d2), 6) AS distance FROM ranked WHERE rank <= {K}
 """
