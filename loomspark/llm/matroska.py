@@ -5,7 +5,7 @@ parser walks one file's bytes without copying data: tracks and cues give names a
 a base time; SimpleBlocks and BlockGroups give track, relative time and flags, and are split into
 packets by their lacing (none, Xiph, fixed or EBML), each with the byte range of its data in the file.
 Elements of unknown size end where an element of an upper level begins; a file that ends early gives
-the packets that are there whole.
+the packets of the SimpleBlocks and BlockGroups that are there whole.
 
 Packets with laced times: the block's time, plus the track's default duration for each frame
 before it in the lace (none where the track has no default duration). A packet is a cue if a cue point
@@ -74,12 +74,18 @@ def number(data: bytes, at: int, end: int, keep: bool = False) -> tuple[int, int
     return (-1 if value == (1 << 7 * size) - 1 else value), at + size
 
 
+#: Elements of which the part that is there is read, where a file ends early.
+CONTAINERS = TOP | {INFO, TRACKS, TRACK, CUES, POINT, CUE_TRACK, CLUSTER}
+
+
 def children(data: bytes, at: int, end: int, parents: set[int] = TOP) -> Iterator[tuple[int, int, int]]:
-    """The elements (identifier, begin and end of data) from `at`; those of unknown size end at an element of `parents`."""
+    """The elements (identifier, begin and end of data) from `at`; those of unknown size end at an element of `parents`. One that is cut off is damage, unless a container."""
     while at < end:
         name, at = number(data, at, end, keep=True)
         size, at = number(data, at, end)
         stop = at + size if size >= 0 else _extent(data, at, end, LEVEL1 if name not in TOP else TOP)
+        if stop > end and name not in CONTAINERS:
+            raise Damage
         yield name, at, min(stop, end)
         at = stop
 
@@ -198,7 +204,7 @@ def packets(data: bytes | None) -> list[Packet]:
                         if n == TIME:
                             base = unsigned(data, p, q)
                         elif n == SIMPLE:
-                            if q - p < 4 or q > end:
+                            if q - p < 4:
                                 raise Damage
                             block(here, base, p, q, True, None, False)
                         elif n == GROUP:
