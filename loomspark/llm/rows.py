@@ -32,6 +32,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not have.isDefined():
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="loomspark-"))
     return found or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

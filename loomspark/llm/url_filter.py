@@ -7,7 +7,7 @@ among the training rows. Features and trees are evaluated in numpy over Arrow ba
 
 Where no labelled URLs are given, `seeded` labels a table by host words of a short public block list.
 
-Defined cases: a null, empty or malformed URL gets the features of the text it is (an empty one for null) and is
+Defined cases: bytes that are not UTF-8 are read as U+FFFD (the URL given back is unchanged); a null, empty or malformed URL gets the features of the text it is (an empty one for null) and is
 judged by them; repeated rows are judged alike; a null identifier is carried; labelled rows with a null URL or
 label are not used; with no labelled rows or one kind only, the score is constant; an empty table gives no rows; other
 columns are not read.
@@ -115,14 +115,14 @@ def train(urls: pd.Series, y: np.ndarray) -> Model:
 def fit(labelled: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """From rows (url, label)."""
     got = labelled.where("url is not null and label is not null").groupBy("url").agg(F.max("label").alias("label"))
-    got = got.orderBy(F.xxhash64("url"), "url").limit(most).toPandas()
+    got = got.orderBy(F.xxhash64("url"), "url").limit(most).select(F.make_valid_utf8("url").alias("url"), "label").toPandas()
     return train(got["url"], got["label"].to_numpy() if len(got) else np.zeros(0))
 
 
 def _apply(m: Model, limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.round(boost.score(features(batch.column(1).to_pandas(), m.suffixes, m.tops, m.prior), m.base, m.trees), 6)
+            p = np.round(boost.score(features(T.repaired(batch.column(1)).to_pandas(), m.suffixes, m.tops, m.prior), m.base, m.trees), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array(p < limit)], ["page_id", "url", "score", "keep"])
 
     return run
