@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from loomspark.llm import sentencepiece_codec
+from loomspark.llm import mixing, ngram_join, sentencepiece_codec
 
 from .test_ops import WORDS, brute_pairs, brute_spans, docs_of, prose, words
 
@@ -21,7 +21,7 @@ def tables(spark, tmp_path_factory):
             w.insert(rng.randint(0, 60), rng.choice(learnt))
         rows.append((k, " ".join(w), "s0"))
     passage = prose(rng, 70)
-    rows += [(k, f"{prose(rng, 40)}\n{passage}\n{prose(rng, 40)}", "s1") for k in range(280, 286)]
+    rows += [(k, f"{prose(rng, 100)}\n{passage}\n{prose(rng, 100)}", "s1") for k in range(280, 286)]
     base = prose(rng, 200).split()
     for k in range(286, 294):
         near = list(base)
@@ -48,7 +48,7 @@ def test_stages_equal_brute_force(spark, tables):
         assert name == "tokens" or docs.columns == columns
     not_toxic = [r for r in rows if not 240 <= r[0] < 280]
     assert sorted(kept[0]) == sorted(r[0] for r in not_toxic)
-    pairs, copies = brute_pairs(not_toxic)
+    pairs, copies = brute_pairs(not_toxic, ngram_join.THRESHOLD)
     groups = [set(a) | set(b) for a, b, _ in pairs] + [set(c) for c in copies]
     lost = set()
     for _ in rows:  # every group's least identifier, through chains
@@ -63,6 +63,7 @@ def test_stages_equal_brute_force(spark, tables):
     spans = {}
     for i, b, e, _ in brute_spans(alone, 50):
         spans.setdefault(i, []).append((b, e))
+    assert set(range(280, 286)) & set(spans)
     left = {}
     for i, text, _ in alone:
         if i not in spans:
@@ -76,6 +77,13 @@ def test_stages_equal_brute_force(spark, tables):
         got = kept[2][i]["text"]
         assert got == want if i not in spans else words(got) == want
     assert {i: r["text"] for i, r in kept[3].items()} == {i: r["text"] for i, r in kept[2].items()}
+    # mixing's positions decide the final ones; rows of one identifier have one text here
+    due = {r["doc_id"]: r["position"] for r in mixing.order(spark.read.parquet(f"{folder}/repeated_passages.parquet")).collect()}
+    final = sorted(kept[4].values(), key=lambda r: r["position"])
+    assert [r["position"] for r in final] == list(range(len(final)))
+    assert [due[r["doc_id"]] for r in final] == sorted(due.values()) and [r["doc_id"] for r in final] != sorted(kept[4])
+    alone = corpus_pipeline.tokens(spark, spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), folder).collect()
+    assert [(r["doc_id"], r["position"], r["exact"]) for r in alone] == [(1, None, True)]
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
@@ -87,7 +95,7 @@ def test_stages_equal_brute_force(spark, tables):
 def test_run_equals_its_stages(spark, tables):
     rows, folder = tables
     got = corpus_pipeline.run(spark, folder)
-    assert got.columns == ["doc_id", "ids", "n_tokens", "exact"] and 240 < got.count() < len(rows)
+    assert got.columns == ["doc_id", "position", "ids", "n_tokens", "exact"] and 240 < got.count() < len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "repeated_passages", "mixing", "tokens"]
 
 
