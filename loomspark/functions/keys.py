@@ -46,18 +46,19 @@ def uniform(seed: int, *key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def ids_hash(ids: DataFrame, column: str) -> str:
-    """sha1 over the sorted identifiers; the same for any order of the rows.
+def ids_hash(ids: DataFrame, column: str, at_once: int = 100_000) -> str:
+    """sha1 over the sorted identifiers, each with a | behind it; the same for any order of the rows.
 
-    Two levels, so that no task or row holds all identifiers: ranges are hashed in order, then their hashes.
+    Up to at_once identifiers are hashed in one row; more come to the digest in order, a range at a time.
     """
-    n = ids.count()
-    if n <= 100_000:
+    ids = ids.select(column).where(F.col(column).isNotNull())
+    if ids.count() <= at_once:
         row = ids.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda x: F.concat(x, F.lit("|"))), "").cast("binary"))).first()
         return row[0]
-    parts = ids.select(F.substring(F.sha1(F.col(column).cast("binary")), 1, 4).alias("p"), column).groupBy("p")
-    hashed = parts.agg(F.sha1(F.array_join(F.array_sort(F.collect_list(column)), "|").cast("binary")).alias("h")).orderBy("p").collect()
-    return hashlib.sha1("".join(f"{p}{h}|" for p, h in hashed).encode()).hexdigest()
+    digest = hashlib.sha1()
+    for row in ids.repartitionByRange(column).sortWithinPartitions(column).toLocalIterator():
+        digest.update(f"{row[0]}|".encode())
+    return digest.hexdigest()
 
 
 def signature(config: dict, chunk_count: int, chunk_ids_hash: str) -> str:
