@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys
 from ..operators import storage
@@ -102,13 +104,41 @@ class Call:
     threads: int = 1
 
 
-def _map(provider: Provider, call: Call):
+#: Up to so many requests are spread over the tasks before they are asked; more stay where they lie.
+SPREAD = 10_000
+#: Requests of which the prompts are held in Python at a time.
+AT_ONCE = 256
+
+
+def _one(provider: Provider, call: Call):
     def one(prompt: str) -> tuple[str | None, str | None]:
         try:
             return provider.generate(prompt, model=call.model, temperature=call.temperature, max_tokens=call.max_tokens, system=call.system), None
         except RuntimeError as e:
             return None, str(e)
 
+    return one
+
+
+def _each(provider: Provider, call: Call):
+    """Batches with the prompt as the last column; the reply and the error stand in its place."""
+    one = _one(provider, call)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(max(1, call.threads)) as pool:
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    got = list(pool.map(one, part.column(part.num_columns - 1).to_pylist()))
+                    new = [pa.array([x[k] for x in got], pa.string()) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*part.schema.names[:-1], "response", "error"])
+
+    return run
+
+
+def _map(provider: Provider, call: Call):
+    one = _one(provider, call)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, call.threads)) as pool:
             for batch in batches:
@@ -144,6 +174,20 @@ def ask(requests: DataFrame, provider: Provider, call: Call, cache: "Cache | Non
     return requests.withColumn("__key", key).join(replies, "__key", "left").drop("__key")
 
 
+def ask_each(requests: DataFrame, provider: Provider, call: Call, cache: "Cache | None" = None) -> DataFrame:
+    """The same, without `prompt`, for requests of which no two have the same prompt: they are asked where they lie, and no text is shuffled.
+
+    The caller writes the result before it reads it; the requests must come from files, as they may be read twice.
+    """
+    if cache is not None and call.temperature <= cache.limit:
+        return ask(requests, provider, call, cache).drop("prompt")
+    if requests.limit(SPREAD + 1).count() <= SPREAD:
+        requests = requests.repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    others = [c for c in requests.columns if c != "prompt"]
+    schema = T.StructType([*(requests.schema[c] for c in others), T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
+    return requests.select(*others, "prompt").mapInArrow(_each(provider, call), schema)
+
+
 @dataclass
 class Cache:
     """Replies of deterministic calls as a Parquet table; of several replies to a key the newest counts."""

@@ -1,4 +1,6 @@
+import dataclasses
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +47,29 @@ def test_run_is_the_same_for_any_partitioning(spark, chunks, tmp_path):
     assert (tmp_path / "out/README.md").read_text().startswith("---\nlanguage:\n- en\n") and (tmp_path / "out/s.manifest.json").exists()
 
 
+def test_copies_are_asked_once_and_only_a_wave_is_gated(spark, tmp_path, monkeypatch):
+    class Noting(StubProvider):
+        def generate(self, prompt, **k):
+            (tmp_path / "asked" / uuid.uuid4().hex).write_text(prompt)
+            return StubProvider.generate(self, prompt, **k)
+
+    (tmp_path / "asked").mkdir()
+    sizes, diversity = [], pipeline.dedup.diversity
+    monkeypatch.setattr(pipeline.dedup, "diversity", lambda items, *a, **k: sizes.append(items.count()) or diversity(items, *a, **k))
+    docs = spark.createDataFrame([(str(k), TEXT if k < 3 else TEXT.replace("river", f"road {k}")) for k in range(6)] * 2, "source string, text string")
+    chunks = chunking.chunk_text(docs, "source", target_chars=400)
+    config = pipeline.Config("a guide", target_examples=3, seeds_per_chunk=2, seeds_from_description=0, min_hallucination_overlap=0.0, min_judge_score=6, wave=8)
+    out = pipeline.run(spark, config, chunks, Noting(), run_dir=str(tmp_path / "run"))
+    asked = [p.read_text() for p in (tmp_path / "asked").iterdir()]
+    assert len(asked) == len(set(asked)) and sum("JSON array" in p for p in asked) == chunks.select("text").distinct().count()
+    n = chunks.select("id").distinct().count()
+    assert sizes[0] == 8 and sizes[-1] < 2 * n == out.stats.first()["generated"]
+    assert "chunk_text" not in spark.read.parquet(*map(str, (tmp_path / "run").glob("*/answers"))).columns
+    whole = pipeline.run(spark, dataclasses.replace(config, wave=4096), chunks, StubProvider())
+    assert rows_of(out.examples) == rows_of(whole.examples) and rows_of(out.rejected) == rows_of(whole.rejected)
+    assert out.stats.first() == whole.stats.first()
+
+
 def test_free_form_run_without_chunks_and_overflow(spark):
     config = pipeline.Config("a guide " + TEXT[:400], target_examples=2, seeds_from_description=12, min_judge_score=4, overflow="reject", diversity_threshold=0.99)
     out = pipeline.run(spark, config, spark.createDataFrame([], files.CHUNKS), StubProvider())
