@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
+#: Most bytes of an Arrow batch that goes to Python, and the session's setting for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches of this session by their bytes; rows a batch stay as they are."""
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of this session's own where the cluster names none, as in tests."""

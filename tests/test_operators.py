@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,33 @@ def test_diversity_of_vectors_and_bounds(spark):
             dedup.check_threshold(bad)
 
 
+def test_similar_blocks_are_multiplied_in_strips():
+    n, dim = 4096, 64
+    x = np.random.default_rng(1).normal(size=(n, dim))
+    block = pd.DataFrame({"at": np.arange(n), "buckets": [np.arange(dim)] * n, "counts": list(x), "block": 0})
+    tracemalloc.start()
+    got = dedup._similar(0.4, dim)(block, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == np.count_nonzero(np.triu(unit @ unit.T >= 0.4, 1)) and (got["early"] < got["late"]).all()
+    assert peak < 64e6
+
+
+def test_vectors_that_stay_need_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 32)
+    monkeypatch.setattr(dedup, "similar_pairs", None)
+    x = np.random.default_rng(2).normal(size=(200, 8)).astype("float32")
+    x[150:] = x[50:100]
+    df = spark.createDataFrame([(7 * k, v.tolist()) for k, v in enumerate(x)], "at bigint, v array<float>").repartition(5)
+    got = {r["at"]: r["accepted"] for r in dedup.vector_diversity(df, "at", "v", 0.6).collect()}
+    kept = []
+    for k, v in enumerate(x.astype(float)):
+        stays = all(v @ w < 0.6 * np.sqrt((v @ v) * (w @ w)) for w in kept)
+        kept += [v] * stays
+        assert got[7 * k] == stays
+
+
 def test_grounding_and_rescue(spark):
     df = spark.createDataFrame([(0, "river water flows", "the river water flows on"), (1, "zebra", "bread"), (2, "", "bread")], "k int, o string, r string")
     got = {r["k"]: r for r in grounding.ground(df, "k", "o", "r", 0.5).collect()}
