@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..operators import storage
+
+#: Pages that are held as Python strings at a time.
+AT_ONCE = 64
 SKIP = frozenset("noscript script style svg template".split())
 
 
@@ -44,10 +48,14 @@ def text_of(html: str | None) -> str | None:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_of(x) for x in batch.column(1).to_pylist()], pa.string())], [batch.schema.names[0], "text"])
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_of(x.as_py()) for x in part.column(1)], pa.string())], [part.schema.names[0], "text"])
+        storage.trim()
 
 
 def page_text(pages: DataFrame, ident: str, html: str) -> DataFrame:
-    """Rows (identifier, text) of a column of HTML, in Arrow batches."""
+    """Rows (identifier, text) of a column of HTML, in Arrow batches of bounded bytes."""
+    storage.bound_batches(pages.sparkSession)
     schema = T.StructType([pages.schema[ident], T.StructField("text", T.StringType())])
     return pages.select(ident, html).mapInArrow(_read, schema)

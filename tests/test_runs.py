@@ -2,6 +2,7 @@ import dataclasses
 import json
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from loomspark.operators import chunking
 from loomspark.plans import jobs, pipeline
 from loomspark.plans.providers import Cache, Call, StubProvider, ask
 from loomspark.sinks import card, exports, runs
-from loomspark.sources import files, settings
+from loomspark.sources import files, pages, settings
 from loomspark.sources.pages import text_of
 from loomspark.streaming import ingest
 
@@ -114,6 +115,15 @@ def test_pages():
     assert text_of("<p>a</p><scr") == "a" and text_of(None) is None and text_of("") == "" and text_of("<script>a</script") == ""
 
 
+def test_pages_are_read_a_few_at_a_time(spark):
+    html = [f"<p>{k}</p>" if k % 7 else None for k in range(1000)]
+    got = list(pages._read(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(html)], ["k", "html"])])))
+    assert max(b.num_rows for b in got) <= pages.AT_ONCE < 1000
+    assert [x for b in got for x in b.column(1).to_pylist()] == [str(k) if k % 7 else None for k in range(1000)]
+    pages.page_text(spark.createDataFrame([(1, "<p>")], "k int, html string"), "k", "html")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
 def test_tool_calls(spark):
     rows = spark.createDataFrame([("do it", "done", '{"tool_call": {"name": "f", "arguments": {"x": 1}}}'), ("no", "none", "{}"), ("bad", "none", '{"tool_call": {"name": " ", "arguments": "{}"}}'), ("s", "ok", '{"tool_call": {"name": "g", "arguments": "{}"}}')], "instruction string, output string, m string")
     got = exports.tool_calls(rows.withColumn("metadata", F.parse_json("m")), {"name": "f"})
